@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, embedding_dedup, langid, minhash, mixing, repeats, url_filter
+from tidemark.llm import ann, bpe, embedding_dedup, langid, minhash, mixing, pii, repeats, secret_scan, url_filter
 from tidemark.llm.url_filter import Rule
 
 
@@ -29,6 +29,14 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").filter(host.rlike(_LISTED)).select(url_filter.canonical(host, url_filter.path_of(url)).alias("url"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(table(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listing(spark, sf_dir))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -66,6 +74,8 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_secret_scan": op2_secret_scan,
     "op3_url_filter": op3_url_filter,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_bpe": op5_bpe,

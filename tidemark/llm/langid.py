@@ -207,3 +207,14 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, text: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*keep, "lang_pred", "score", "phrase_rate"])
 
     return docs.select(*keep).mapInArrow(run, f"{schema}, lang_pred string, score double, phrase_rate double")
+
+
+#: Phrases by symbols beyond which a text of UNLIKE_CHARS characters or more is in no language that was learned.
+UNLIKE_RATE, UNLIKE_CHARS = 0.5, 64
+
+
+def in_a_language(docs: DataFrame, text: str = "text", **kw) -> DataFrame:
+    """Rows of docs whose text is in one of the learned languages: it has letters, and does not fall apart into short phrases."""
+    found = identify(docs, text=text, **kw)
+    unlike = (F.col("phrase_rate") > UNLIKE_RATE) & (F.length(text) >= UNLIKE_CHARS)
+    return found.filter((F.col("lang_pred") != UND) & ~unlike)

@@ -209,3 +209,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     per = written(per.join(least, "label").select("key", "component"), "perclass")
     out = rows.select("doc_id", "n_shingles", "key").join(per, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one document of each component; of rows that are equal in doc_id and text one stays. Rows without doc_id cannot be told apart and stay.
+
+    What goes is joined out by broadcast up to BROADCAST_ROWS ids, so that the texts stay where they are.
+    """
+    judged = written(near_duplicates(docs, width, percent, text, doc_id).filter("doc_id is not null").select(F.col("doc_id").alias("_id"), "kept"), "judged")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    gone = judged.filter("not kept").select("_id").distinct()
+    again = written(judged.filter("kept").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id"), "again")
+    kept = docs.join(small(gone), docs[doc_id] == F.col("_id"), "left_anti")
+    once = kept.join(small(again), kept[doc_id] == F.col("_id"), "left_anti")
+    return once.unionByName(kept.join(small(again), kept[doc_id] == F.col("_id"), "left_semi").dropDuplicates([doc_id, text]))
