@@ -104,15 +104,22 @@ def disclosures(rows: DataFrame, docs: DataFrame, text: str = "text") -> tuple[D
     """(term, ratio, label) of terms to sanitise, and (digest, term) of the texts that hold them."""
     near = rows.filter(F.size("near") > 0).select("digest", F.explode("near").alias("n")).select("digest", F.col("n.entity").alias("entity"), F.col("n.terms").alias("terms"))
     entities = near.select("digest", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    both = near.select("digest", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= SUPPORT)
-    both = written(both.join(entities, "entity"), "pairs")
+    terms = near.select("digest", "entity", F.explode("terms").alias("term"))
+    both = terms.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= SUPPORT)
+    seen = terms.select("digest", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    total = rows.select("digest").distinct().agg(F.count(F.lit(1)).alias("n"))
+
+    def ratio(n_t: str) -> Column:
+        ic = F.log(F.col("n") / F.col("n_e"))
+        return F.when(F.col("n") > F.col("n_e"), F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / ic)
+
+    # a term is in no fewer texts than those that have it near an entity, and the ratio falls with their number: common
+    # words fail already by what is near, and need no count over the corpus
+    both = both.join(entities, "entity").join(seen, "term").crossJoin(F.broadcast(total))  # one row
+    both = written(both.filter(ratio("n_near") >= GENERALISE).select("entity", "term", "n", "n_e", "n_et"), "pairs")
     held = written(term_counts(docs, both.select("term").distinct(), text), "held")
     counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.select("digest").distinct().agg(F.count(F.lit(1)).alias("n"))
-    scored = both.join(counts, "term").crossJoin(F.broadcast(total))  # one row
-    ic = F.log(F.col("n") / F.col("n_e"))
-    pmi = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    scored = scored.filter(F.col("n") > F.col("n_e")).withColumn("ratio", pmi / ic).filter(F.col("ratio") >= GENERALISE)
+    scored = both.join(counts, "term").withColumn("ratio", ratio("n_t")).filter(F.col("ratio") >= GENERALISE)
     label = F.when(F.col("ratio") >= REMOVE, F.lit("")).when(F.col("term").rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("[TERM]"))
     flagged = written(scored.groupBy("term").agg(F.max("ratio").alias("ratio")).select("term", "ratio", label.alias("label")), "flagged")
     return flagged, held.join(flagged.select("term"), "term", "left_semi")
