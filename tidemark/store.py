@@ -54,8 +54,10 @@ class _Files:
 
     def opened(self, name: str):
         """A stream whose hflush() makes what was written visible; the local file system's checksums would hold it back."""
-        local = self.fs.getClass().getSimpleName() == "LocalFileSystem"
-        return (self.fs.getRawFileSystem() if local else self.fs).create(self.path(name), False)
+        fs = self.fs
+        if fs.getUri().getScheme() == "file":
+            fs = self.jvm.org.apache.hadoop.fs.FileSystem.getLocal(fs.getConf()).getRawFileSystem()
+        return fs.create(self.path(name), False)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
