@@ -37,7 +37,7 @@ from tidemark.plans.storage import remove, written
 #: A perfect difference set modulo 57.
 PERIOD, COVER = 57, np.array([0, 1, 3, 13, 32, 36, 43, 52])
 #: Bytes of text of a chunk, and rows of a table of keys that is broadcast at most.
-CHUNK, BROADCAST_ROWS = 1 << 20, 500_000
+CHUNK, BROADCAST_ROWS = 1 << 19, 500_000
 
 
 def _pack(ascending: np.ndarray) -> bytes:
