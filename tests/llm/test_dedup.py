@@ -21,13 +21,14 @@ def test_near_duplicates_equal_brute_force(spark, sf):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("edits", [2, pytest.param(4, marks=pytest.mark.xfail(reason="most pairs lie just below the threshold; the few links there are partly missed"))])
+def test_large_group_of_near_copies(spark, edits):
     rnd = random.Random(2)
     base = [f"w{i}" for i in range(300)]
     rows = []
     for i in range(600):
         w = list(base)
-        for j in rnd.sample(range(300), 2):
+        for j in rnd.sample(range(300), edits):
             w[j] = f"x{i}y{j}"
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, " ".join(f"z{rnd.randrange(10**9)}" for _ in range(50)) + " " + " ".join(base[:12])) for i in range(300)]
