@@ -6,7 +6,7 @@ import pytest
 
 from tests.llm import brute
 from tests.oracle import DATA
-from tidemark.llm import catalogue, minhash, repeats, shingles
+from tidemark.llm import catalogue, crowded, minhash, repeats, shingles
 from tidemark.llm.components import components
 
 
@@ -21,8 +21,11 @@ def test_near_duplicates_equal_brute_force(spark, sf):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-@pytest.mark.parametrize("edits", [2, pytest.param(4, marks=pytest.mark.xfail(reason="most pairs lie just below the threshold; the few links there are partly missed"))])
-def test_large_group_of_near_copies(spark, edits):
+@pytest.mark.parametrize(("edits", "chunk"), [(2, 256), (4, 256), (4, 16), (3, 16)])
+def test_large_group_of_near_copies(spark, monkeypatch, edits, chunk):
+    """With four edits most pairs lie just below the threshold, and few link; small chunks and blocks cut the group into many."""
+    monkeypatch.setattr(crowded, "CHUNK", chunk)
+    monkeypatch.setattr(crowded, "BLOCK", chunk * 256)
     rnd = random.Random(2)
     base = [f"w{i}" for i in range(300)]
     rows = []

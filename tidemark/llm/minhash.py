@@ -10,6 +10,9 @@ missed with a chance of about one in a million, and every link is confirmed on t
 candidate is confirmed; after that only candidates that would join different components are, so a group of very many
 near copies costs about one comparison a text. The result is the same as if all candidates were confirmed.
 
+A forest looks at WINDOW neighbours and takes BEST of them. Texts for which that leaves anything out are crowded, and what
+may be missing between two of them is found by the module of that name: no link is lost to a window or a limit.
+
 Null and empty texts, and those without words, have no shingles and link with nothing. Rows with a null doc_id link like
 others but name no component. Rows that repeat a doc_id count with their own text each. Other columns don't matter.
 """
@@ -24,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import crowded
 from tidemark.llm import shingles as S
 from tidemark.llm.common import spark_parts
 from tidemark.llm.components import components
@@ -89,7 +93,7 @@ _FOUND = "a binary, b binary, agree int, rec binary"
 def _neighbours(percent: int, borders: bool):
     """For each record its best neighbours: of those within WINDOW that share the tree's first value and may link, the
     BEST that agree in most of the signature. For borders also the records at either end of the task's range, whose
-    neighbours may lie in another."""
+    neighbours may lie in another. A key by itself is crowded: there is more in its region than was looked at or taken."""
     j = percent / 100
     least = max(1, int(np.floor(SHORT * (j - SIGMAS * np.sqrt(j * (1 - j) / SHORT)))))
 
@@ -98,17 +102,21 @@ def _neighbours(percent: int, borders: bool):
         n = len(rows)
         size = rows[:, _SIZE_AT:_SIG_AT].copy().view(">u8").ravel().astype(np.int64)
         rank = np.zeros((n, 2 * WINDOW), np.int32)
+        wide = np.zeros(n, bool)
         for step in range(1, min(WINDOW, n - 1) + 1):
             at = np.flatnonzero((rows[: n - step, :5] == rows[step:, :5]).all(1))
             if not len(at):
                 break  # the records in between would share the value too
+            if step == WINDOW:
+                wide[at] = wide[at + step] = True
             small, large = np.minimum(size[at], size[at + step]), np.maximum(size[at], size[at + step])
             at = at[100 * small >= percent * large]
             agree = (rows[at, _SIG_AT:] == rows[at + step, _SIG_AT:]).sum(1).astype(np.int32)
             at, agree = at[agree >= least], agree[agree >= least]
             rank[at, step - 1] = agree * 256 + 255 - step
             rank[at + step, WINDOW + step - 1] = agree * 256 + 255 - step
-        out = []
+        wide |= (rank > 0).sum(1) > BEST
+        out = [(rows[i, _KEY_AT:_SIZE_AT].tobytes(), None, None, None) for i in lo + np.flatnonzero(wide[lo:hi])]
         owners = lo + np.flatnonzero(rank[lo:hi].any(1))
         top = np.argpartition(-rank[owners], BEST, axis=1)[:, :BEST] if len(owners) else []
         for i, places in zip(owners, top, strict=True):
@@ -145,15 +153,15 @@ def _batch(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=["a", "b", "agree", "rec"])
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, agree), a < b, of classes (key, n_shingles, sig)."""
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, agree), a < b, of classes (key, n_shingles, sig), and the keys that are crowded."""
     records = classes.select("key", "n_shingles", "sig").mapInArrow(_records, "rec binary")
     ordered = records.repartitionByRange(max(2, spark_parts(classes)), "rec").sortWithinPartitions("rec")
     found = written(ordered.mapInArrow(_neighbours(percent, True), _FOUND), "neighbours")
     cuts = found.filter("rec is not null").select("rec").distinct().coalesce(1).sortWithinPartitions("rec")
     across = cuts.mapInArrow(_neighbours(percent, False), _FOUND)
-    both = found.filter("rec is null").unionByName(across)
-    return written(both.groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
+    both = written(found.filter("rec is null").unionByName(across).groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
+    return both.filter("b is not null"), both.filter("b is null").select(F.col("a").alias("key"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -191,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     rows = written(signed(docs, width, text, doc_id), "signed")
     full = rows.filter("key is not null")
     classes = written(full.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")), "classes")
-    pairs = candidates(classes, percent)
+    pairs, many = candidates(classes, percent)
     ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("other"), "agree").unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("other"), "agree"))
     best = ends.groupBy("key").agg(F.max_by("other", F.struct("agree", "other")).alias("other"))
     best = written(best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "best")
@@ -203,7 +211,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     left = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     left = written(left.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "left")
-    labels = components(links.unionByName(_confirmed(left, texts, width, percent)))
+    links = links.unionByName(_confirmed(left, texts, width, percent))
+    labels = components(links)
+    of_class = labels.withColumnRenamed("node", "key")
+    many = written(many.join(classes, "key").join(of_class, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "n_shingles", "sig"), "many")
+    rest = written(crowded.candidates(many, percent, SIGMAS).join(pairs, ["a", "b"], "left_anti"), "rest")
+    involved = rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = written(classes.select("key", F.col("first").alias("doc_id")).join(involved, "key"), "wanted")
+    more = crowded.confirmed(rest, classes, _texts(docs, wanted, width, text, doc_id), width, percent)
+    labels = components(links.unionByName(more))
     per = written(classes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("label", "key").alias("label")), "perclass")
     least = written(per.groupBy("label").agg(F.min("first").alias("component")), "least")
     per = written(per.join(least, "label").select("key", "component"), "perclass")
