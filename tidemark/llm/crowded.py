@@ -4,8 +4,9 @@ A text is crowded if in some order its region is wider than the window, or holds
 links between two crowded texts can be missing. They are looked for in buckets of DEPTH values of the signature in a row, in
 all BANDS of them, where a link of similarity 0.8 is missed with a chance of three in a million. Only texts that are not in
 one component yet are compared, so a bucket whose texts are all linked costs a row of counts; one of any size is cut
-into chunks, whose pairs are dealt out to tasks. Pairs that may link are then confirmed on full sets, block by block, so
-that a text is read once for a block of partners and not once for each.
+into chunks, whose pairs are dealt out to tasks. What comes out is no list of pairs: each text is named once for each pair
+of blocks in which it may link, where a block holds texts that share a bucket. Pairs of blocks are then compared by
+signature and on full sets, so that a text is read once for a block of partners and only links are written.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tidemark.plans.storage import written
 
 #: Values of a bucket's key, buckets of each text, texts of a chunk, shingles of a block (a text counts as LEAST at least).
 DEPTH, BANDS, CHUNK, BLOCK, LEAST = 4, 24, 256, 1 << 16, 256
+#: Shingles that are looked up at a time.
+STEP = 1 << 20
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -41,23 +44,36 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _likely(percent: int, sigmas: float):
-    j, n = percent / 100, DEPTH * BANDS
-    least = max(1, int(np.floor(n * (j - sigmas * np.sqrt(j * (1 - j) / n)))))
+class _Side:
+    """Texts of a group, of which those that may link are found by size, label and signature."""
 
+    def __init__(self, t: pa.Table, percent: int, sigmas: float):
+        j, n = percent / 100, DEPTH * BANDS
+        self.percent, self.least = percent, max(1, int(np.floor(n * (j - sigmas * np.sqrt(j * (1 - j) / n)))))
+        self.size = t.column("n_shingles").to_numpy()
+        self.label = np.array(t.column("label").to_pylist(), object)
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, n)
+
+    def likely(self, i: int, others: np.ndarray) -> np.ndarray:
+        ok = others[100 * np.minimum(self.size[others], self.size[i]) >= self.percent * np.maximum(self.size[others], self.size[i])]
+        ok = ok[(self.sig[ok] == self.sig[i]).sum(1) >= self.least]
+        return ok[self.label[ok] != self.label[i]]
+
+
+def _meetings(percent: int, sigmas: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            side, size = t.column("side").to_numpy(), t.column("n_shingles").to_numpy()
-            key, label = (np.array(t.column(c).to_pylist(), object) for c in ("key", "label"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, n)
+            texts, side = _Side(t, percent, sigmas), t.column("side").to_numpy()
+            key, block = t.column("key").to_pylist(), t.column("block").to_numpy()
             right = np.flatnonzero(side != 0)
-            found: set[tuple[bytes, bytes]] = set()
+            found: set[tuple[int, int, bytes]] = set()
             for i in np.flatnonzero(side != 1):
-                ok = right[100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i])]
-                ok = ok[(sig[ok] == sig[i]).sum(1) >= least]
-                ok = ok[label[ok] != label[i]]
-                found.update((min(key[i], k), max(key[i], k)) for k in key[ok])
-            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
+                ok = texts.likely(i, right)
+                for other in np.unique(block[ok]):
+                    found.add((*sorted((int(block[i]), int(other))), key[i]))
+                found.update((*sorted((int(block[i]), int(block[k]))), key[k]) for k in ok)
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], kind) for c, kind in enumerate(kinds)], names=["x", "y", "key"])
 
     return run
 
@@ -69,8 +85,9 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.tobytes() for s in sig], pa.binary())], names=["key", "label", "n_shingles", "sig"])
 
 
-def candidates(crowded: DataFrame, percent: int, sigmas: float) -> DataFrame:
-    """(a, b), a < b, of crowded (key, label, n_shingles, sig) that differ in label and may link."""
+def meetings(crowded: DataFrame, percent: int, sigmas: float) -> tuple[DataFrame, DataFrame]:
+    """(pid, key): the texts of each pair of blocks that may link there; and (key, block, label, n_shingles, sig), all of crowded
+    (key, label, n_shingles, sig) that share a bucket with another label."""
     values = [F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * DEPTH * i, 4 * DEPTH)) for i in range(BANDS)]
     members = written(crowded.select("key", "label", F.explode(F.array(*values)).alias("bucket")), "buckets")
     counts = written(members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), "counts")
@@ -87,32 +104,41 @@ def candidates(crowded: DataFrame, percent: int, sigmas: float) -> DataFrame:
     ends = F.when(F.col("u1") == F.col("u2"), F.array(end(1, 2))).otherwise(F.array(end(1, 0), end(2, 1)))
     met = met.select(F.xxhash64("bucket", "u1", "p1", "u2", "p2").alias("pid"), "bucket", F.explode(ends).alias("e")).select("pid", "bucket", "e.*")
     rows = members.join(units, ["bucket", "label"]).select("bucket", "unit", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), "key")
-    slim = written(crowded.select("key", "label", "n_shingles", "sig").mapInArrow(_short, crowded.select("key", "label", "n_shingles", "sig").schema), "slim")
+    home = members.join(units, ["bucket", "label"]).join(counts.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket").groupBy("key").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"))
+    home = home.join(crowded.select("key", F.greatest("n_shingles", F.lit(LEAST)).alias("weight")), "key")
+    shares = home.groupBy("home").agg(F.ceil(F.sum("weight") / BLOCK).alias("shares"))
+    block = home.join(shares, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("shares"))).alias("block"))
+    slim = written(crowded.select("key", "label", "n_shingles", "sig").mapInArrow(_short, crowded.select("key", "label", "n_shingles", "sig").schema).join(block, "key"), "slim")
     dealt = written(met.join(rows, ["bucket", "unit", "part"]).select("pid", "side", "key"), "dealt")
-    dealt = dealt.join(slim, "key").select("pid", "side", "key", "label", "n_shingles", "sig")
-    found = dealt.repartition("pid").sortWithinPartitions("pid").mapInArrow(_likely(percent, sigmas), "a binary, b binary")
-    return written(found.distinct(), "crowded")
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of classes (key, n_shingles) with texts (key, text) that link, by their full sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"), F.col("a").alias("near"))
-    nodes = ends.groupBy("key").agg(F.min("near").alias("near")).join(classes.select("key", F.greatest("n_shingles", F.lit(LEAST)).alias("n")), "key")
-    parts = nodes.groupBy("near").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
-    blocks = written(nodes.join(parts, "near").select("key", F.xxhash64("near", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block")), "blocks")
-    of = lambda c: blocks.select(F.col("key").alias(c), F.col("block").alias(f"b{c}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-    met = written(met.select(F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("pid"), "a", "b"), "met")
-    need = met.select("pid", F.explode(F.array("a", "b")).alias("key")).distinct().join(texts, "key")
-    none = F.lit(None)
-    rows = met.select("pid", "a", "b", none.cast("string").alias("text")).unionByName(need.select("pid", F.col("key").alias("a"), none.cast("binary").alias("b"), "text"))
+    dealt = dealt.join(slim, "key").select("pid", "side", "key", "block", "label", "n_shingles", "sig")
+    found = dealt.repartition("pid").sortWithinPartitions("pid").mapInArrow(_meetings(percent, sigmas), "x long, y long, key binary")
+    return written(found.select(F.xxhash64("x", "y").alias("pid"), "key").distinct(), "meetings"), slim
+
+
+def links(met: DataFrame, slim: DataFrame, texts: DataFrame, width: int, percent: int, sigmas: float) -> DataFrame:
+    """(a, b), a < b: the links within each pair of blocks, by the full sets of texts (key, text). Each has to join two labels."""
+    rows = met.join(slim.drop("block"), "key").join(texts, "key").select("pid", "key", "label", "n_shingles", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(b for batch in batches for b in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))):
-            a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
-            told = [i for i, y in enumerate(b) if y is None]
-            sets = dict(zip((a[i] for i in told), S.shingle_sets(t.column("text").take(pa.array(told, pa.int64())).to_pylist(), width), strict=True))
-            keep = [(x, y) for x, y in zip(a, b, strict=True) if y is not None and S.similar(sets[x], sets[y], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in keep], pa.binary()) for c in (0, 1)], names=["a", "b"])
-
-    return written(rows.repartition("pid").sortWithinPartitions("pid").mapInArrow(run, "a binary, b binary"), "confirmed")
+            side, key = _Side(t, percent, sigmas), t.column("key").to_pylist()
+            sets = S.shingle_sets(t.column("text").to_pylist(), width)
+            size = np.array([len(s) for s in sets])
+            out = []
+            for i in range(len(key) - 1):
+                ok = side.likely(i, np.arange(i + 1, len(key)))
+                for part in np.split(ok, np.flatnonzero(np.diff(np.cumsum(size[ok]) // STEP)) + 1):
+                    if len(part):
+                        out += [(min(key[i], key[k]), max(key[i], key[k])) for k in part[_alike(sets[i], [sets[k] for k in part], percent)]]
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+    return written(rows.repartition("pid").sortWithinPartitions("pid").mapInArrow(run, "a binary, b binary").distinct(), "confirmed")
+
+
+def _alike(one: np.ndarray, many: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of many sets link with one; none of them is empty."""
+    size = np.array([len(s) for s in many])
+    every = np.concatenate(many)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    both = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+    return 100 * both >= percent * (len(one) + size - both)

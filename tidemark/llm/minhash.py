@@ -215,10 +215,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     labels = components(links)
     of_class = labels.withColumnRenamed("node", "key")
     many = written(many.join(classes, "key").join(of_class, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "n_shingles", "sig"), "many")
-    rest = written(crowded.candidates(many, percent, SIGMAS).join(pairs, ["a", "b"], "left_anti"), "rest")
-    involved = rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = written(classes.select("key", F.col("first").alias("doc_id")).join(involved, "key"), "wanted")
-    more = crowded.confirmed(rest, classes, _texts(docs, wanted, width, text, doc_id), width, percent)
+    met, slim = crowded.meetings(many, percent, SIGMAS)
+    wanted = written(classes.select("key", F.col("first").alias("doc_id")).join(met.select("key").distinct(), "key"), "wanted")
+    more = crowded.links(met, slim, _texts(docs, wanted, width, text, doc_id), width, percent, SIGMAS)
     labels = components(links.unionByName(more))
     per = written(classes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("label", "key").alias("label")), "perclass")
     least = written(per.groupBy("label").agg(F.min("first").alias("component")), "least")
