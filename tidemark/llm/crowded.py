@@ -5,7 +5,7 @@ links between two crowded texts can be missing. They are looked for in buckets o
 all BANDS of them, where a link of similarity 0.8 is missed with a chance of three in a million. Only texts that are not in
 one component yet are compared, so a bucket whose texts are all linked costs a row of counts; one of any size is cut
 into chunks, whose pairs are dealt out to tasks. What comes out is no list of pairs: each text is named once for each pair
-of blocks in which it may link, where a block holds texts that share a bucket. Pairs of blocks are then compared by
+of blocks in which it may link, by the first bucket that it shares with a partner, where a block holds texts that share a bucket. Pairs of blocks are then compared by
 signature and on full sets, so that a text is read once for a block of partners and only links are written.
 """
 
@@ -22,7 +22,7 @@ from tidemark.llm import shingles as S
 from tidemark.plans.storage import written
 
 #: Values of a bucket's key, buckets of each text, texts of a chunk, shingles of a block (a text counts as LEAST at least).
-DEPTH, BANDS, CHUNK, BLOCK, LEAST = 4, 24, 256, 1 << 16, 256
+DEPTH, BANDS, CHUNK, BLOCK, LEAST = 4, 24, 256, 1 << 16, 64
 #: Shingles that are looked up at a time.
 STEP = 1 << 20
 
@@ -65,10 +65,14 @@ def _meetings(percent: int, sigmas: float):
         for t in _groups(batches):
             texts, side = _Side(t, percent, sigmas), t.column("side").to_numpy()
             key, block = t.column("key").to_pylist(), t.column("block").to_numpy()
+            bucket, every = t.column("bucket").to_numpy(), t.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             right = np.flatnonzero(side != 0)
             found: set[tuple[int, int, bytes]] = set()
             for i in np.flatnonzero(side != 1):
                 ok = texts.likely(i, right)
+                same = every[ok] == every[i]
+                first = same.argmax(1)
+                ok = ok[same[np.arange(len(ok)), first] & (every[i][first] == bucket[i])]
                 for other in np.unique(block[ok]):
                     found.add((*sorted((int(block[i]), int(other))), key[i]))
                 found.update((*sorted((int(block[i]), int(block[k]))), key[k]) for k in ok)
@@ -86,7 +90,7 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def meetings(crowded: DataFrame, percent: int, sigmas: float) -> tuple[DataFrame, DataFrame]:
-    """(pid, key): the texts of each pair of blocks that may link there; and (key, block, label, n_shingles, sig), all of crowded
+    """(pid, key): the texts of each pair of blocks that may link there; and (key, block, buckets, label, n_shingles, sig), all of crowded
     (key, label, n_shingles, sig) that share a bucket with another label."""
     values = [F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * DEPTH * i, 4 * DEPTH)) for i in range(BANDS)]
     members = written(crowded.select("key", "label", F.explode(F.array(*values)).alias("bucket")), "buckets")
@@ -108,16 +112,18 @@ def meetings(crowded: DataFrame, percent: int, sigmas: float) -> tuple[DataFrame
     home = home.join(crowded.select("key", F.greatest("n_shingles", F.lit(LEAST)).alias("weight")), "key")
     shares = home.groupBy("home").agg(F.ceil(F.sum("weight") / BLOCK).alias("shares"))
     block = home.join(shares, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("shares"))).alias("block"))
-    slim = written(crowded.select("key", "label", "n_shingles", "sig").mapInArrow(_short, crowded.select("key", "label", "n_shingles", "sig").schema).join(block, "key"), "slim")
-    dealt = written(met.join(rows, ["bucket", "unit", "part"]).select("pid", "side", "key"), "dealt")
-    dealt = dealt.join(slim, "key").select("pid", "side", "key", "block", "label", "n_shingles", "sig")
+    buckets = crowded.select("key", F.array(*values).alias("buckets"))
+    slim = crowded.select("key", "label", "n_shingles", "sig")
+    slim = written(slim.mapInArrow(_short, slim.schema).join(block, "key").join(buckets, "key"), "slim")
+    dealt = written(met.join(rows, ["bucket", "unit", "part"]).select("pid", "side", "bucket", "key"), "dealt")
+    dealt = dealt.join(slim, "key").select("pid", "side", "key", "bucket", "buckets", "block", "label", "n_shingles", "sig")
     found = dealt.repartition("pid").sortWithinPartitions("pid").mapInArrow(_meetings(percent, sigmas), "x long, y long, key binary")
     return written(found.select(F.xxhash64("x", "y").alias("pid"), "key").distinct(), "meetings"), slim
 
 
 def links(met: DataFrame, slim: DataFrame, texts: DataFrame, width: int, percent: int, sigmas: float) -> DataFrame:
     """(a, b), a < b: the links within each pair of blocks, by the full sets of texts (key, text). Each has to join two labels."""
-    rows = met.join(slim.drop("block"), "key").join(texts, "key").select("pid", "key", "label", "n_shingles", "sig", "text")
+    rows = met.join(slim.drop("block", "buckets"), "key").join(texts, "key").select("pid", "key", "label", "n_shingles", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(b for batch in batches for b in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))):
