@@ -194,6 +194,15 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int, text: str, doc_id: st
     return written(rows.mapInArrow(run, "key binary, text string"), "texts")
 
 
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, label) of components after more links (a, b), which are traced between the old components only."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    tops = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    up = components(tops)
+    lifted = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return written(lifted.unionByName(up.join(labels, "node", "left_anti").select("node", "label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; component_id is the smallest doc_id that links lead to."""
     rows = written(signed(docs, width, text, doc_id), "signed")
@@ -206,19 +215,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = written(classes.select("key", F.col("first").alias("doc_id")).join(involved, "key"), "wanted")
     texts = _texts(docs, wanted, width, text, doc_id)
-    links = _confirmed(best, texts, width, percent)
-    labels = components(links)
+    labels = components(_confirmed(best, texts, width, percent))
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     left = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     left = written(left.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "left")
-    links = links.unionByName(_confirmed(left, texts, width, percent))
-    labels = components(links)
+    labels = _joined(labels, _confirmed(left, texts, width, percent))
     of_class = labels.withColumnRenamed("node", "key")
     many = written(many.join(classes, "key").join(of_class, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "n_shingles", "sig"), "many")
     met, slim = crowded.meetings(many, percent, SIGMAS)
     wanted = written(classes.select("key", F.col("first").alias("doc_id")).join(met.select("key").distinct(), "key"), "wanted")
     more = crowded.links(met, slim, _texts(docs, wanted, width, text, doc_id), width, percent, SIGMAS)
-    labels = components(links.unionByName(more))
+    labels = _joined(labels, more)
     per = written(classes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("label", "key").alias("label")), "perclass")
     least = written(per.groupBy("label").agg(F.min("first").alias("component")), "least")
     per = written(per.join(least, "label").select("key", "component"), "perclass")
