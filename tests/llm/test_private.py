@@ -83,6 +83,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert "ann@" not in clean[0] and "[EMAIL]" in clean[0] and "uillfeather" not in clean[0] and "common matters" in clean[0]
 
 
+def test_terms_far_from_an_entity_give_it_away(spark):
+    rnd = random.Random(4)
+    fill = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    rows = [(i, f"Quillfeather {fill()} ann@example.org") for i in range(6)] + [(100 + i, fill()) for i in range(200)] + [(500, "Then quillfeather left.")]
+    rows += [(600 + i, f"{'Marrowby ' if i < 2 else ''}{fill()} bob{i // 2}@example.org") for i in range(4)]  # too few texts with both
+    got = {r["doc_id"]: r["spans"] for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("term:0:12" in got[i] for i in range(6)) and got[500] == "term:5:17" and "term" not in got[600]
+
+
 def test_secret_candidates_and_planted_secrets(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}

@@ -4,8 +4,9 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. T
 distinct texts, a term t discloses an entity e (one address or number) as far as PMI(e; t) = log p(e, t) / (p(e) p(t)) comes
 near the entity's information IC(e) = -log p(e). The ratio is 1 if each text with t has e. From GENERALISE on, a term is replaced by a
 label; from REMOVE on, it is deleted; and this goes for every text, also where the entity itself is missing.
-Co-occurrence is counted in a window of characters around each entity, so pairs grow with the number of entities; terms and
-entities are counted over all distinct texts, so copies count once.
+Entities, terms and their co-occurrence are counted over whole distinct texts, so copies count once; how far a term stands from
+the entity does not matter. Pairs are listed for entities of SUPPORT texts or more, and without terms that stand in too many
+texts to come near any ratio that counts.
 
 Null and empty texts have no spans. Rows that repeat a doc_id stay as they are. Matches that fail a check (parts, digits,
 Luhn) are dropped without another try. All steps are built-in expressions; what is broadcast is checked in size.
@@ -27,8 +28,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"  # [0-9]+(\.[0-9]+)(\.[0-9]
 #: Chains of fewer than 14 digits fail anyway; a chain that is long enough is taken from its first digit.
 CARD = r"(?<![0-9])(?=(?:[0-9][ -]?){13}[0-9])[0-9]++(?:[ -][0-9]++)*+"  # [0-9]([\x20-]?[0-9])+
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: Characters on either side of an entity in which terms are counted, and distinct texts with both that a term needs.
-WINDOW, SUPPORT = 80, 3
+#: Distinct texts with both entity and term that a term needs.
+SUPPORT = 3
 #: Disclosure ratios from which a term is generalised and removed.
 GENERALISE, REMOVE = 0.9, 0.97
 #: A term: three letters or digits or more, letter case aside.
@@ -73,60 +74,82 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _around(text: Column, s: Column) -> Column:
-    """Terms near a span; those cut off by the window's edge or part of the span are left out."""
-    lo = F.greatest(F.lit(0), s["start"] - WINDOW)
-    before = F.substring(text, lo + 1, s["start"] - lo)
-    before = F.when(lo > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]++", "")).otherwise(before)
-    after = F.substring(text, s["end"] + 1, F.lit(WINDOW))
-    after = F.when(F.length(text) > s["end"] + WINDOW, F.regexp_replace(after, r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++$", "")).otherwise(after)
-    return _terms(F.concat(before, F.lit(" "), after))
-
-
 def analysed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, digest, base, near): digest names the text, base has its marked spans, near each entity with the terms around it."""
+    """(doc_id, digest, base, entities): digest names the text, base has its marked spans, entities what they name."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text")).withColumn("base", _marked(base_spans(F.col("text"))))
     entity = lambda s: F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["match"])).otherwise(_digits(s["match"])))
-    near = F.transform("base", lambda s: F.struct(entity(s).alias("entity"), _around(F.col("text"), s).alias("terms")))
-    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "base", near.alias("near"))
+    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "base", F.array_distinct(F.transform("base", entity)).alias("entities"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(digest, term) for each distinct text and each of terms in it; the texts are scanned in place."""
+def holders(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(digest, entities, terms) of each distinct text that holds an entity of SUPPORT texts or more: those (entity, n_e), and all terms."""
+    held = rows.filter(F.size("entities") > 0).select("digest", F.explode("entities").alias("entity")).distinct()
+    often = written(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= SUPPORT), "entities")
+    held = held.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "entity")
+    by = written(held.groupBy("digest").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities")), "holders")
+    t = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.md5(t.cast("binary")).alias("digest"), t.alias("text")).join(F.broadcast(by) if by.count() <= BROADCAST_ROWS else by, "digest")
+    return written(texts.select("digest", "entities", _terms(F.col("text")).alias("terms")).dropDuplicates(["digest"]), "holderterms")
+
+
+def _words(docs: DataFrame, terms: DataFrame, text: str, *more: str) -> DataFrame:
+    """(term, more) for each row of docs (digest, more, text) and each of terms in it."""
     wanted = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
+    return docs.select(*more, F.explode(_terms(F.col(text))).alias("term")).join(wanted, "term")
+
+
+def term_counts(rows: DataFrame, docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n_t) of terms: distinct texts with it. Only texts with copies are told apart; the others are counted where they are."""
+    copied = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.col("digest").alias("copied")), "copied")
     t = F.coalesce(F.col(text), F.lit(""))
-    words = docs.select(F.md5(t.cast("binary")).alias("digest"), F.explode(_terms(t)).alias("term"))
-    return words.join(wanted, "term").distinct()
+    texts = docs.select(F.md5(t.cast("binary")).alias("digest"), t.alias("text")).join(F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied, "digest", "left")
+    n = _words(texts, terms, "text", "copied").groupBy("term", "copied").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("term").agg(F.sum(F.when(F.col("copied").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+
+
+def term_texts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """(digest, term) for each distinct text and each of terms in it; the texts are scanned in place."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return _words(docs.select(F.md5(t.cast("binary")).alias("digest"), t.alias("text")), terms, "text", "digest").distinct()
 
 
 def disclosures(rows: DataFrame, docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(term, ratio, label) of terms to sanitise, and (digest, term) of the texts that hold them."""
-    near = rows.filter(F.size("near") > 0).select("digest", F.explode("near").alias("n")).select("digest", F.col("n.entity").alias("entity"), F.col("n.terms").alias("terms"))
-    entities = near.select("digest", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    terms = near.select("digest", "entity", F.explode("terms").alias("term"))
-    both = terms.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= SUPPORT)
-    seen = terms.select("digest", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    texts = holders(rows, docs, text)
     total = rows.select("digest").distinct().agg(F.count(F.lit(1)).alias("n"))
-
-    def ratio(n_t: str) -> Column:
-        ic = F.log(F.col("n") / F.col("n_e"))
-        return F.when(F.col("n") > F.col("n_e"), F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / ic)
-
-    # a term is in no fewer texts than those that have it near an entity, and the ratio falls with their number: common
-    # words fail already by what is near, and need no count over the corpus
-    both = both.join(entities, "entity").join(seen, "term").crossJoin(F.broadcast(total))  # one row
-    both = written(both.filter(ratio("n_near") >= GENERALISE).select("entity", "term", "n", "n_e", "n_et"), "pairs")
-    held = written(term_counts(docs, both.select("term").distinct(), text), "held")
-    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    scored = both.join(counts, "term").withColumn("ratio", ratio("n_t")).filter(F.col("ratio") >= GENERALISE)
+    seen = written(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).filter(F.col("n_held") >= SUPPORT), "seen")
+
+    def ratio(n_et: Column, n_e: Column, n_t: Column) -> Column:
+        n = F.col("n")
+        return F.when(n > n_e, F.log(n * n_et / (n_e * n_t)) / F.log(n / n_e))
+
+    # a term is in no fewer texts than those that have it beside an entity, in no more texts with an entity than either is
+    # in, and the ratio falls with the term's number: what fails with these bounds fails with the counts (but for rounding)
+    near = texts.select("entities", F.explode("terms").alias("term")).join(F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen, "term").crossJoin(F.broadcast(total))  # one row
+    may = F.filter("entities", lambda e: ratio(F.least(e["n_e"], F.col("n_held")), e["n_e"], F.col("n_held")) >= GENERALISE - 1e-9)
+    pairs = near.select("term", "n_held", "n", F.explode(may).alias("e")).groupBy("e.entity", "e.n_e", "term", "n_held", "n").agg(F.count(F.lit(1)).alias("n_et"))
+    both = pairs.filter((F.col("n_et") >= SUPPORT) & (ratio(F.col("n_et"), F.col("n_e"), F.col("n_held")) >= GENERALISE))
+    both = written(both.select("entity", "term", "n", "n_e", "n_et"), "pairs")
+    counts = written(term_counts(rows, docs, both.select("term").distinct(), text), "counts")
+    scored = both.join(counts, "term").withColumn("ratio", ratio(F.col("n_et"), F.col("n_e"), F.col("n_t"))).filter(F.col("ratio") >= GENERALISE)
     label = F.when(F.col("ratio") >= REMOVE, F.lit("")).when(F.col("term").rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("[TERM]"))
     flagged = written(scored.groupBy("term").agg(F.max("ratio").alias("ratio")).select("term", "ratio", label.alias("label")), "flagged")
-    return flagged, held.join(flagged.select("term"), "term", "left_semi")
+    return flagged, written(term_texts(docs, flagged.select("term"), text), "held")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
-    return F.filter(P.find(text, TERM), lambda s: F.array_contains(terms, F.lower(s["match"])))
+    """Spans of those words that are in terms; only they are put into an array, so that long texts are not slow."""
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(words, F.slice(F.split(text, TERM, -1), F.lit(1), F.size(words)), lambda h, b: F.struct(h.alias("h"), b.alias("b")))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["b"])
+        end = start + F.length(x["h"])
+        span = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("match"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(x["h"])), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), P.SPAN).alias("out")), step, lambda acc: acc["out"])
 
 
 def _texts_with_terms(docs: DataFrame, flagged: DataFrame, held: DataFrame, text: str) -> DataFrame:
