@@ -1,6 +1,8 @@
 """Secrets in texts: patterns propose candidates, a random forest removes false positives.
 
-A candidate is a run of at least SHORTEST characters of the key alphabet with a digit, or with sixteen capitals in a row.
+A candidate is a run of at least SHORTEST characters of the key alphabet with a digit, or with sixteen capitals in a row;
+or what is assigned with = or : to a word that ends in a secret word: a quoted string without spaces, or any other run, of
+ASSIGNED characters or more. A run that the forest turns down is looked at once more by the parts that are candidates themselves.
 The forest looks at its length, its character transitions, how much of it a dictionary covers, whether it is part of a
 path, and the words before it. It is trained on the driver from a bounded number of labelled findings, by default made by
 rule; features of findings and of candidates come from the same expressions. Its trees become CASE expressions, so texts are
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import spans as P
 
-SHORTEST = 12
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z]{16})[A-Za-z0-9+/_-]{" + str(SHORTEST) + ",}+"
+SHORTEST, ASSIGNED = 12, 6
+KEY_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z]{16})[A-Za-z0-9+/_-]{" + str(SHORTEST) + ",}+"
 #: Characters before and after a candidate that are looked at; findings that the forest learns from, at most.
 CONTEXT, FINDINGS = 40, 4000
 TREES, DEPTH, LEAF, KEEP = 15, 6, 5, 0.5
@@ -30,6 +32,14 @@ TREES, DEPTH, LEAF, KEEP = 15, 6, 5, 0.5
 DICTIONARY = "account admin alpha backup beta build chapter client cloud config count data date default demo dev document dummy east example file final form group house image index invoice item local main model name north number order page part paper photo place prod project record release report sample section server south staging summary table team test text title update user value version week west word year".split()
 SECRET_WORDS = "apikey api_key auth authorization bearer credential key passwd password pwd secret token".split()
 PLAIN_WORDS = "branch card checksum commit digest doi hash id isbn md5 order page ref revision sha sha1 sha256 ticket tracking uuid version".split()
+#: A secret word, looked back at in words of one length at a time; what may stand between it and the value; the value.
+_NAMED = "(?:" + "|".join(f"(?<=(?i:{'|'.join(w for w in SECRET_WORDS if len(w) == n)}))" for n in sorted({len(w) for w in SECRET_WORDS})) + ")"
+_SIGN = r"[\"'\]]{0,2}+[\x20\t]{0,2}+(?>=>|[=:]{1,2})[\x20\t]{0,2}+"
+_SPACE = r"\x20\x09-\x0D"
+_VALUE = rf"(?:\"[^\"{_SPACE}]{{{ASSIGNED},}}+|'[^'{_SPACE}]{{{ASSIGNED},}}+|[^\"'{_SPACE}][^{_SPACE}]{{{ASSIGNED - 1},}}+)"
+#: A key run, or the sign and the value of an assignment; _LEAD is what stands before the value in a match.
+CANDIDATE = rf"{KEY_RUN}|(?=[\"'\]\x20\t=:]){_NAMED}{_SIGN}{_VALUE}"
+_LEAD = rf"^{_SIGN}[\"']?"
 
 
 def features(before: Column, cand: Column, after: Column) -> dict[str, Column]:
@@ -47,13 +57,15 @@ def features(before: Column, cand: Column, after: Column) -> dict[str, Column]:
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
         "symbols": share("[+/_-]"),
+        "punctuation": share("[^A-Za-z0-9+/_-]"),
+        "placeholder": cand.rlike(r"^[<$%{*]|\(|^(.)\1+$").cast("double"),
         "hex": cand.rlike("^[0-9a-f]+$").cast("double"),
         "dictionary": 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / n,
         "known_form": cand.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abp]-|^sk-[A-Za-z0-9]{20}").cast("double"),
         "grouped": cand.rlike("^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$").cast("double"),
         "path": (before.rlike(r"[/\\.]$") | cand.rlike("/.*/") | after.rlike(r"^\.[a-z]{2,4}\b")).cast("double"),
         "assigned": before.rlike("[=:]\\s{0,2}[\"']?$").cast("double"),
-        "secret_word": word.isin(*SECRET_WORDS).cast("double"),
+        "secret_word": word.rlike(f"(?:^|_)(?:{'|'.join(SECRET_WORDS)})$").cast("double"),
         "plain_word": word.isin(*PLAIN_WORDS).cast("double"),
     }
 
@@ -89,7 +101,27 @@ def labelled_findings(n: int = 3000, seed: int = 13) -> list[tuple[str, str, str
         lambda: (prose() + " " + name() + sep(), rnd.choice(["x" * rnd.randrange(11, 20) + "1", "your-" + rnd.choice(["token", "key", "password"]) + "-here-123", "example-" + ident(), "0" * rnd.randrange(12, 20), "123456789012"]), " "),
         lambda: (prose() + " ", of(low, 3) + "-" + "-".join(of(string.digits, 4) for _ in range(rnd.randrange(2, 4))), " " + prose()),
     ]
-    return [(*rnd.choice(yes if i % 2 else no)(), i % 2) for i in range(n)]
+    found = [(*rnd.choice(yes if i % 2 else no)(), i % 2) for i in range(n)]
+    # values that only the word before them gives away, and what else follows such words
+    word = lambda: "".join(syllable() for _ in range(rnd.randrange(2, 4)))[:10]
+    marks = lambda t, k: "".join(c + (rnd.choice("!@#$%&.*?") if i in k else "") for i, c in enumerate(t))
+    whole = [
+        lambda: (word() + of(string.digits, rnd.randrange(1, 5)))[-11:].rjust(6, "q"),
+        lambda: "".join(rnd.choice([c, c.upper(), {"a": "4", "e": "3", "i": "1", "o": "0"}.get(c, c)]) for c in word().ljust(6, "k")) + of(string.digits, rnd.randrange(1, 4)),
+        lambda: "".join(syllable() for _ in range(rnd.randrange(5, 9))),
+        lambda: of(string.ascii_letters, rnd.randrange(10, 44)),
+        lambda: marks(of(alnum, rnd.randrange(7, 24)), {rnd.randrange(1, 6), rnd.randrange(1, 6)}),
+        lambda: of(alnum, rnd.randrange(7, 14)),
+    ]
+    other = [
+        lambda: word().ljust(6, "e") + rnd.choice(["", ".", ",", ";"]),
+        lambda: rnd.choice(DICTIONARY) + rnd.choice(["_", "-", "."]) + rnd.choice(DICTIONARY),
+        lambda: rnd.choice(["<" + word() + "-" + name() + ">", "${" + word().upper() + "}", "{{" + word() + "}}", "*" * rnd.randrange(6, 14), "x" * rnd.randrange(6, 14), "$" + word(), "%" + word() + "%"]),
+        lambda: rnd.choice(["get", "read", "load"]) + rnd.choice(["Token", "Key", "Secret", "Password"]) + "()" + rnd.choice(["", ";"]),
+        lambda: rnd.choice(["required", "optional", "string", "enabled", "disabled", "missing", "changed", "expired", "invalid", "undefined"]),
+    ]
+    put = lambda value: (prose() + " " + rnd.choice(["", "", "db_", "user_", "my_"]) + name() + sep(), value, rnd.choice([" ", '" ', "\n"]) + prose())
+    return found + [(*put(rnd.choice(whole if i % 2 else other)()), i % 2) for i in range(n // 3)]
 
 
 class Forest:
@@ -148,17 +180,26 @@ def train(spark: SparkSession, findings: Sequence[tuple[str, str, str, int]] | N
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _cands: (start, end, match, before, after) of each candidate of a text."""
+    """Adds _cands: (start, end, match, before, after, parts) of each candidate of a text; parts are the candidates in it."""
     t = F.coalesce(F.col(text), F.lit(""))
-    around = lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
-        F.substring(t, F.greatest(F.lit(1), s["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), s["start"])).alias("before"), F.substring(t, s["end"] + 1, F.lit(CONTEXT)).alias("after"),
-    )
-    return docs.withColumn("_cands", F.transform(P.find(t, CANDIDATE, t.rlike("[A-Za-z0-9+/_-]{12}")), around))
+
+    def around(s: Column, offset: Column) -> tuple[Column, ...]:
+        value = F.regexp_replace(s["match"], _LEAD, "")
+        end = s["end"] + offset
+        start = end - F.length(value)
+        before = F.substring(t, F.greatest(F.lit(1), start - CONTEXT + 1), F.least(F.lit(CONTEXT), start))
+        return start.alias("start"), end.alias("end"), value.alias("match"), before.alias("before"), F.substring(t, end + 1, F.lit(CONTEXT)).alias("after")
+
+    def parted(s: Column) -> Column:
+        inner = F.transform(P.find(s["match"], CANDIDATE, s["match"].rlike("[^A-Za-z0-9+/_-]")), lambda i: F.struct(*around(i, s["start"])))
+        return F.struct(*(s[k].alias(k) for k in ("start", "end", "match", "before", "after")), inner.alias("parts"))
+
+    found = P.find(t, CANDIDATE, t.rlike("[A-Za-z0-9+/_-]{12}|[=:]"))
+    return docs.withColumn("_cands", F.transform(F.transform(found, lambda s: F.struct(*around(s, F.lit(0)))), parted))
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, text: str = "text") -> DataFrame:
-    """Adds _cands and _secrets, the candidates whose score is at least keep."""
+    """Adds _cands and _secrets, the candidates whose score is at least keep, or else those of their parts."""
     forest = forest or train(docs.sparkSession)
 
     def judge(s: Column) -> Column:
@@ -166,7 +207,12 @@ def scan(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, text
         # features once, then the trees on their values
         return F.element_at(F.transform(F.array(named), lambda v: forest.score([v[k] for k in features(F.lit(""), F.lit(""), F.lit(""))])), 1) >= keep
 
-    return candidates(docs, text).withColumn("_secrets", F.filter("_cands", judge))
+    def passed(c: Column) -> Column:
+        whole = F.struct(*(c[k].alias(k) for k in ("start", "end", "match", "before", "after")))
+        good = F.filter(F.concat(F.array(whole), c["parts"]), judge)
+        return F.element_at(F.transform(F.array(good), lambda g: F.when(F.exists(g, lambda s: (s["start"] == c["start"]) & (s["end"] == c["end"])), F.slice(g, 1, 1)).otherwise(g)), 1)
+
+    return candidates(docs, text).withColumn("_secrets", F.flatten(F.transform("_cands", passed)))
 
 
 def report(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
