@@ -96,3 +96,10 @@ def test_word_hashes_do_not_depend_on_neighbours():
     b = [shingles.shingle_sets([t], 4)[0] for t in ("x y z w v", "", None, "Q x y z w", "x y")]
     assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
     assert [len(x) for x in a] == [2, 0, 0, 2, 1] and len(np.intersect1d(a[0], a[3])) == 1
+
+
+def test_repeated_id_with_two_texts_loses_only_the_copy(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b"))
+    rows = [(1, a, "x"), (5, a + " tail", "x"), (5, b, "y"), (5, b, "y"), (5, None, "y"), (6, b + " tail", "z"), (7, a, "z"), (8, "c", "z")]
+    got = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[7]], key=repr)

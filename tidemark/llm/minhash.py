@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from tidemark.llm import crowded
 from tidemark.llm import shingles as S
@@ -205,6 +206,11 @@ def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; component_id is the smallest doc_id that links lead to."""
+    return _judged(docs, width, percent, text, doc_id).drop("key")
+
+
+def _judged(docs: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """near_duplicates, with the key of each row's class."""
     rows = written(signed(docs, width, text, doc_id), "signed")
     full = rows.filter("key is not null")
     classes = written(full.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")), "classes")
@@ -229,19 +235,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     per = written(classes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("label", "key").alias("label")), "perclass")
     least = written(per.groupBy("label").agg(F.min("first").alias("component")), "least")
     per = written(per.join(least, "label").select("key", "component"), "perclass")
-    out = rows.select("doc_id", "n_shingles", "key").join(per, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "key").join(per, "key", "left").select("doc_id", "n_shingles", "key", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one document of each component; of rows that are equal in doc_id and text one stays. Rows without doc_id cannot be told apart and stay.
 
-    What goes is joined out by broadcast up to BROADCAST_ROWS ids, so that the texts stay where they are.
+    What goes is joined out by broadcast up to BROADCAST_ROWS ids, so that the texts stay where they are. Where a doc_id has
+    rows that stay and rows that go, the key of their texts tells them apart.
     """
-    judged = written(near_duplicates(docs, width, percent, text, doc_id).filter("doc_id is not null").select(F.col("doc_id").alias("_id"), "kept"), "judged")
+    judged = _judged(docs, width, percent, text, doc_id).filter("doc_id is not null")
+    judged = written(judged.select(F.col("doc_id").alias("_id"), F.col("key").alias("_set"), "kept"), "judged")
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    gone = judged.filter("not kept").select("_id").distinct()
-    again = written(judged.filter("kept").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id"), "again")
+    ids = written(judged.groupBy("_id").agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go")).filter("stay > 1 or go > 0"), "ids")
+    gone, again, mixed = (ids.filter(c).select("_id") for c in ("go > 0", "stay > 1", "stay > 0 and go > 0"))
     kept = docs.join(small(gone), docs[doc_id] == F.col("_id"), "left_anti")
+    if not mixed.isEmpty():
+        rows = _keyed(docs.join(small(mixed), docs[doc_id] == F.col("_id"), "left_semi"), width, text)
+        out = judged.filter("not kept").join(small(mixed), "_id", "left_semi").distinct()
+        rows = rows.join(out, (rows[doc_id] == out["_id"]) & (rows["_key"] == out["_set"]), "left_anti")
+        kept = kept.unionByName(rows.drop("_key"))
     once = kept.join(small(again), kept[doc_id] == F.col("_id"), "left_anti")
     return once.unionByName(kept.join(small(again), kept[doc_id] == F.col("_id"), "left_semi").dropDuplicates([doc_id, text]))
+
+
+def _keyed(docs: DataFrame, width: int, text: str) -> DataFrame:
+    """Adds _key, the key of each row's set; null for an empty one."""
+    at, names = docs.columns.index(text), [*docs.columns, "_key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = S.shingle_sets(batch.column(at).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([S.set_key(s) if len(s) else None for s in sets], pa.binary())], names=names)
+
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("_key", BinaryType()))
