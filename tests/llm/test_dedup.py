@@ -103,3 +103,12 @@ def test_repeated_id_with_two_texts_loses_only_the_copy(spark):
     rows = [(1, a, "x"), (5, a + " tail", "x"), (5, b, "y"), (5, b, "y"), (5, None, "y"), (6, b + " tail", "z"), (7, a, "z"), (8, "c", "z")]
     got = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[7]], key=repr)
+
+
+def test_rows_without_doc_id_are_bridges(spark):
+    w = [f"w{i}" for i in range(60)]
+    ends, bridge = (" ".join([*(f"h{i}" for i in range(10)), *w]), " ".join([*w, *(f"t{i}" for i in range(10))])), " ".join(w)
+    assert {c for _, c in brute.near([(3, ends[0]), (4, ends[1])], 5).values()} == {3, 4}
+    rows = [(3, ends[0]), (4, ends[1]), (None, bridge), (None, bridge), (None, "other words"), (9, "far away from all")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == sorted([(3, 3), (4, 3), (None, 3), (None, 3), (None, None), (9, 9)], key=repr)

@@ -181,10 +181,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
-    """(key, text), once for each key of wanted (doc_id, key)."""
+    """(key, text), once for each key of wanted (doc_id, key). Classes without a doc_id find their texts by key, in rows without one."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    unnamed = wanted.filter("doc_id is null").select("key")
+    unnamed_rows = unnamed.count()
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("key", "text")
+    named = rows.join(wanted, "doc_id").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +195,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int, text: str, doc_id: st
             same = [len(s) > 0 and S.set_key(s) == k for s, k in zip(sets, batch.column(0).to_pylist(), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    return written(rows.mapInArrow(run, "key binary, text string"), "texts")
+    found = named.mapInArrow(run, "key binary, text string")
+    if unnamed_rows:
+        keyed = _keyed(rows.filter("doc_id is null").select("text"), width, "text").select(F.col("_key").alias("key"), "text")
+        found = found.unionByName(keyed.join(F.broadcast(unnamed) if unnamed_rows <= BROADCAST_ROWS else unnamed, "key").dropDuplicates(["key"]))
+    return written(found, "texts")
 
 
 def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
