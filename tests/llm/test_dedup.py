@@ -6,8 +6,8 @@ import pytest
 
 from tests.llm import brute
 from tests.oracle import DATA
-from tidemark.llm import catalogue, crowded, minhash, repeats, shingles
-from tidemark.llm.components import components
+from tidemark.llm import catalogue, confirm, crowded, minhash, repeats, shingles
+from tidemark.llm.components import components, spanning
 
 
 def documents(spark, sf):
@@ -21,11 +21,11 @@ def test_near_duplicates_equal_brute_force(spark, sf):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-@pytest.mark.parametrize(("edits", "chunk"), [(2, 256), (4, 256), (4, 16), (3, 16)])
-def test_large_group_of_near_copies(spark, monkeypatch, edits, chunk):
-    """With four edits most pairs lie just below the threshold, and few link; small chunks and blocks cut the group into many."""
-    monkeypatch.setattr(crowded, "CHUNK", chunk)
-    monkeypatch.setattr(crowded, "BLOCK", chunk * 256)
+@pytest.mark.parametrize(("edits", "block"), [(2, 1024), (4, 1024), (4, 40), (3, 100)])
+def test_large_group_of_near_copies(spark, monkeypatch, edits, block):
+    """With four edits most pairs lie just below the threshold, and few link; small blocks and parts cut the group into many."""
+    monkeypatch.setattr(confirm, "TEXTS", block)
+    monkeypatch.setattr(crowded, "PART", block)
     rnd = random.Random(2)
     base = [f"w{i}" for i in range(300)]
     rows = []
@@ -112,3 +112,45 @@ def test_rows_without_doc_id_are_bridges(spark):
     rows = [(3, ends[0]), (4, ends[1]), (None, bridge), (None, bridge), (None, "other words"), (9, "far away from all")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == sorted([(3, 3), (4, 3), (None, 3), (None, 3), (None, None), (9, 9)], key=repr)
+
+
+def test_null_row_whose_near_copy_has_the_greater_id(spark):
+    w = [f"w{i}" for i in range(61)]
+    rows = [(1, " ".join(w)), (None, " ".join(w[:60]))]
+    assert {c for _, c in brute.near([(1, rows[0][1]), (2, rows[1][1])], 5).values()} == {1}
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, None: 1}
+
+
+def test_links_are_those_of_all_pairs(monkeypatch):
+    rnd = np.random.default_rng(4)
+    monkeypatch.setattr(confirm, "COLUMNS", 50)
+    pool = rnd.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.r_[pool[: rnd.integers(1, 400)], rnd.integers(0, 2**63, rnd.integers(0, 60)).astype(np.uint64)]) for _ in range(60)]
+    want = {(i, k) for i in range(60) for k in range(60) if shingles.similar(sets[i], sets[k], 80)}
+    others = {(i, k) for i, k in zip(*map(np.ndarray.tolist, confirm.links(sets, sets, 80))) if i != k}
+    assert others == {(i, k) for i, k in want if i != k}
+    copies = [s.copy() for s in sets[:30]]
+    assert set(zip(*map(np.ndarray.tolist, confirm.links(copies, sets, 80)))) == {(i, k) for i, k in want if i < 30}
+
+
+def test_regions_are_as_deep_as_their_runs_need():
+    rows = np.zeros((3 * minhash.WINDOW, minhash._LENGTH), np.uint8)
+    rows[minhash.WINDOW + 5 :, 4] = 1  # another first value
+    rows[2 * minhash.WINDOW + 9 :, 8] = 1  # another second value
+    rows[:, minhash._KEY_AT + 15] = np.arange(len(rows))
+    depth, start = minhash.regions(rows)
+    w = minhash.WINDOW
+    assert set(depth[: w + 5]) == {minhash.DEPTH + 1} and set(depth[w + 5 : 2 * w + 9]) == {minhash.DEPTH + 1}
+    assert set(depth[2 * w + 9 :]) == {2} and set(start[2 * w + 9 :]) == {2 * w + 9}
+
+
+def test_reach_joins_what_pairs_would_join():
+    rnd = np.random.default_rng(6)
+    sig = rnd.integers(0, 3, (300, 96)).astype(np.uint8)
+    size, label = np.full(300, 50), rnd.integers(0, 120, 300)
+    near = (sig[:, None, :] == sig[None]).sum(2) >= 45
+    want = spanning(120, *(label[x] for x in np.nonzero(near)))
+    pairs = crowded.reach(label, sig, size, 80, 45)
+    assert all(near[i, k] for i, k in pairs)
+    assert np.array_equal(spanning(120, *(label[[p[c] for p in pairs]] for c in (0, 1))), want)

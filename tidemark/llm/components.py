@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not moved:
             remove(edges.sparkSession, both)
             return labels
+
+
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, label) of components after more links (a, b), which are traced between the old components only."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    tops = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    up = components(tops)
+    lifted = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return written(lifted.unionByName(up.join(labels, "node", "left_anti").select("node", "label")), "labels")
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first node of its component for each of n nodes, by links between i and j, in memory."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

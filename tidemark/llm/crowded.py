@@ -1,12 +1,11 @@
-"""The exact rest of near-duplicate search: links in regions with more neighbours than an LSH forest looks at.
-
-A text is crowded if in some order its region is wider than the window, or holds more likely partners than are taken. Only
-links between two crowded texts can be missing. They are looked for in buckets of DEPTH values of the signature in a row, in
-all BANDS of them, where a link of similarity 0.8 is missed with a chance of three in a million. Only texts that are not in
-one component yet are compared, so a bucket whose texts are all linked costs a row of counts; one of any size is cut
-into chunks, whose pairs are dealt out to tasks. What comes out is no list of pairs: each text is named once for each pair
-of blocks in which it may link, by the first bucket that it shares with a partner, where a block holds texts that share a bucket. Pairs of blocks are then compared by
-signature and on full sets, so that a text is read once for a block of partners and only links are written.
+"""Regions that a forest could not look through: which texts may lie in one cluster with others there.
+
+A tree that had to go d values deep to find a small region misses a link of similarity s with a chance of 1 - s ** d. A text
+for which all trees together leave more than MISS is open, unless the wider regions around it hold one cluster only. Open
+texts are brought together once more, in BANDS buckets of DEPTH values, where a link of similarity 0.8 is missed with a
+chance of three in a million. In a bucket a cluster grows from text to text: those reached are left out from then on, so
+that a bucket of texts that resemble one another takes about one comparison a text. A bucket is cut into parts of PART
+texts, which travel packed; rows are those of parts and pairs of parts. Out come one pair for each two clusters that meet.
 """
 
 from __future__ import annotations
@@ -18,68 +17,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import shingles as S
+from tidemark.llm.common import grouped, packed, unpacked
 from tidemark.plans.storage import written
 
-#: Values of a bucket's key, buckets of each text, texts of a chunk, shingles of a block (a text counts as LEAST at least).
-DEPTH, BANDS, CHUNK, BLOCK, LEAST = 4, 24, 256, 1 << 16, 64
-#: Shingles that are looked up at a time.
-STEP = 1 << 20
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows that share the first column, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        at = 0
-        for cut in [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]:
-            if cut > at:
-                if held and held[0].column(0)[0].as_py() != ids[at]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(at, cut - at))
-                at = cut
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-class _Side:
-    """Texts of a group, of which those that may link are found by size, label and signature."""
-
-    def __init__(self, t: pa.Table, percent: int, sigmas: float):
-        j, n = percent / 100, DEPTH * BANDS
-        self.percent, self.least = percent, max(1, int(np.floor(n * (j - sigmas * np.sqrt(j * (1 - j) / n)))))
-        self.size = t.column("n_shingles").to_numpy()
-        self.label = np.array(t.column("label").to_pylist(), object)
-        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, n)
-
-    def likely(self, i: int, others: np.ndarray) -> np.ndarray:
-        ok = others[100 * np.minimum(self.size[others], self.size[i]) >= self.percent * np.maximum(self.size[others], self.size[i])]
-        ok = ok[(self.sig[ok] == self.sig[i]).sum(1) >= self.least]
-        return ok[self.label[ok] != self.label[i]]
-
-
-def _meetings(percent: int, sigmas: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            texts, side = _Side(t, percent, sigmas), t.column("side").to_numpy()
-            key, block = t.column("key").to_pylist(), t.column("block").to_numpy()
-            bucket, every = t.column("bucket").to_numpy(), t.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            right = np.flatnonzero(side != 0)
-            found: set[tuple[int, int, bytes]] = set()
-            for i in np.flatnonzero(side != 1):
-                ok = texts.likely(i, right)
-                same = every[ok] == every[i]
-                first = same.argmax(1)
-                ok = ok[same[np.arange(len(ok)), first] & (every[i][first] == bucket[i])]
-                for other in np.unique(block[ok]):
-                    found.add((*sorted((int(block[i]), int(other))), key[i]))
-                found.update((*sorted((int(block[i]), int(block[k]))), key[k]) for k in ok)
-            kinds = (pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], kind) for c, kind in enumerate(kinds)], names=["x", "y", "key"])
-
-    return run
+#: The greatest chance of missing a link that trees may leave; values of a bucket, buckets of a text, texts of a part.
+MISS, DEPTH, BANDS, PART = 5e-6, 4, 24, 2048
+
+
+def open_texts(deep: DataFrame, labels: DataFrame, percent: int, trees: int, depth: int) -> DataFrame:
+    """(key) of open texts, from deep (key, depth, region): trees that had to go beyond one value for a text, and the region
+    of two values there. labels (node, label) are clusters so far."""
+    j = min(percent, 99) / 100
+    chance = lambda d: F.when(d > depth, F.lit(0.0)).otherwise(F.log(1 - F.pow(F.lit(j), d)))
+    rest = (F.lit(trees) - F.count(F.lit(1))) * float(np.log(1 - j))
+    left = lambda df: df.groupBy("key").agg((F.sum(chance(F.col("d"))) + rest).alias("miss")).filter(F.col("miss") > float(np.log(MISS)))
+    deep = written(deep.groupBy("key", "region").agg(F.max("depth").alias("d")), "deep")
+    unsure = left(deep).select("key")
+    asked = written(deep.filter("d > 2").join(unsure, "key", "left_semi").select("region").distinct(), "asked")
+    there = deep.filter("d > 2").join(asked, "region", "left_semi").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    closed = there.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo = hi").select("region", F.lit(2).alias("two"))
+    mine = deep.join(unsure, "key", "left_semi").join(closed, "region", "left").select("key", F.least("d", F.coalesce("two", "d")).alias("d"))
+    return written(left(mine).select("key"), "open")
+
+
+def reach(label: np.ndarray, sig: np.ndarray, size: np.ndarray, percent: int, least: int) -> list[tuple[int, int]]:
+    """Pairs of rows that may link and together join all labels that can be joined."""
+    rest = np.arange(len(label))
+    out: list[tuple[int, int]] = []
+    while len(rest):
+        new = rest[label[rest] == label[rest[0]]]
+        rest = rest[label[rest] != label[rest[0]]]
+        queue = [new]
+        while queue and len(rest):
+            batch = queue.pop()
+            for at in range(0, len(batch), 32):
+                few = batch[at : at + 32]
+                if not len(rest):
+                    break
+                fits = 100 * np.minimum(size[few][:, None], size[rest]) >= percent * np.maximum(size[few][:, None], size[rest])
+                fits &= (sig[few][:, None, :] == sig[rest][None, :, :]).sum(2) >= least
+                hit = np.flatnonzero(fits.any(0))
+                if len(hit):
+                    names, first = np.unique(label[rest[hit]], return_index=True)
+                    out += [(int(few[fits[:, hit[f]].argmax()]), int(rest[hit[f]])) for f in first]
+                    found = np.isin(label[rest], names)
+                    queue.append(rest[found])
+                    rest = rest[~found]
+    return out
+
+
+def _reached(tables: list[pa.Table], percent: int, least: int) -> pa.RecordBatch:
+    column = lambda c: [v for t in tables for v in t.column(c).to_pylist()]
+    key, sig = column("key"), np.frombuffer(b"".join(column("sig")), np.uint8).reshape(-1, DEPTH * BANDS)
+    label = np.unique(np.array(column("label"), object), return_inverse=True)[1]
+    pairs = reach(label, sig, np.array(column("n_shingles")), percent, least)
+    return pa.RecordBatch.from_arrays([pa.array([key[p[c]] for p in pairs], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,62 +81,40 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.tobytes() for s in sig], pa.binary())], names=["key", "label", "n_shingles", "sig"])
 
 
-def meetings(crowded: DataFrame, percent: int, sigmas: float) -> tuple[DataFrame, DataFrame]:
-    """(pid, key): the texts of each pair of blocks that may link there; and (key, block, buckets, label, n_shingles, sig), all of crowded
-    (key, label, n_shingles, sig) that share a bucket with another label."""
+def meetings(texts: DataFrame, percent: int, sigmas: float) -> DataFrame:
+    """(a, b): of texts (key, label, n_shingles, sig), pairs that may link and join all labels that can be joined in a bucket."""
+    j, n = percent / 100, DEPTH * BANDS
+    least = max(1, int(np.floor(n * (j - sigmas * np.sqrt(j * (1 - j) / n)))))
     values = [F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * DEPTH * i, 4 * DEPTH)) for i in range(BANDS)]
-    members = written(crowded.select("key", "label", F.explode(F.array(*values)).alias("bucket")), "buckets")
-    counts = written(members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), "counts")
-    big = F.col("n") >= CHUNK
-    mixed = counts.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.when(~big, F.col("n")).otherwise(0)).alias("small")).filter("lo <> hi").select("bucket", "small")
-    pack = F.concat(F.lit("pack"), F.pmod(F.xxhash64("label"), F.ceil(F.col("small") / CHUNK)).cast("string"))
-    units = counts.join(mixed, "bucket").select("bucket", "label", F.when(big, F.hex("label")).otherwise(pack).alias("unit"), F.when(big, F.ceil(F.col("n") / CHUNK)).otherwise(1).cast("long").alias("parts"))
-    units = written(units, "units")
-    each = units.select("bucket", "unit", "parts").distinct()
-    of = lambda i: each.select("bucket", F.col("unit").alias(f"u{i}"), F.col("parts").alias(f"n{i}"))
-    met = of(1).join(of(2), "bucket").filter("u1 < u2 or (u1 = u2 and u1 like 'pack%')")
-    met = met.withColumn("p1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n1") - 1))).withColumn("p2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n2") - 1)))
-    end = lambda i, side: F.struct(F.col(f"u{i}").alias("unit"), F.col(f"p{i}").alias("part"), F.lit(side).alias("side"))
-    ends = F.when(F.col("u1") == F.col("u2"), F.array(end(1, 2))).otherwise(F.array(end(1, 0), end(2, 1)))
-    met = met.select(F.xxhash64("bucket", "u1", "p1", "u2", "p2").alias("pid"), "bucket", F.explode(ends).alias("e")).select("pid", "bucket", "e.*")
-    rows = members.join(units, ["bucket", "label"]).select("bucket", "unit", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), "key")
-    home = members.join(units, ["bucket", "label"]).join(counts.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket").groupBy("key").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"))
-    home = home.join(crowded.select("key", F.greatest("n_shingles", F.lit(LEAST)).alias("weight")), "key")
-    shares = home.groupBy("home").agg(F.ceil(F.sum("weight") / BLOCK).alias("shares"))
-    block = home.join(shares, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("shares"))).alias("block"))
-    buckets = crowded.select("key", F.array(*values).alias("buckets"))
-    slim = crowded.select("key", "label", "n_shingles", "sig")
-    slim = written(slim.mapInArrow(_short, slim.schema).join(block, "key").join(buckets, "key"), "slim")
-    dealt = written(met.join(rows, ["bucket", "unit", "part"]).select("pid", "side", "bucket", "key"), "dealt")
-    dealt = dealt.join(slim, "key").select("pid", "side", "key", "bucket", "buckets", "block", "label", "n_shingles", "sig")
-    found = dealt.repartition("pid").sortWithinPartitions("pid").mapInArrow(_meetings(percent, sigmas), "x long, y long, key binary")
-    return written(found.select(F.xxhash64("x", "y").alias("pid"), "key").distinct(), "meetings"), slim
-
-
-def links(met: DataFrame, slim: DataFrame, texts: DataFrame, width: int, percent: int, sigmas: float) -> DataFrame:
-    """(a, b), a < b: the links within each pair of blocks, by the full sets of texts (key, text). Each has to join two labels."""
-    rows = met.join(slim.drop("block", "buckets"), "key").join(texts, "key").select("pid", "key", "label", "n_shingles", "sig", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(b for batch in batches for b in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))):
-            side, key = _Side(t, percent, sigmas), t.column("key").to_pylist()
-            sets = S.shingle_sets(t.column("text").to_pylist(), width)
-            size = np.array([len(s) for s in sets])
-            out = []
-            for i in range(len(key) - 1):
-                ok = side.likely(i, np.arange(i + 1, len(key)))
-                for part in np.split(ok, np.flatnonzero(np.diff(np.cumsum(size[ok]) // STEP)) + 1):
-                    if len(part):
-                        out += [(min(key[i], key[k]), max(key[i], key[k])) for k in part[_alike(sets[i], [sets[k] for k in part], percent)]]
-            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.binary()) for c in (0, 1)], names=["a", "b"])
-
-    return written(rows.repartition("pid").sortWithinPartitions("pid").mapInArrow(run, "a binary, b binary").distinct(), "confirmed")
-
-
-def _alike(one: np.ndarray, many: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which of many sets link with one; none of them is empty."""
-    size = np.array([len(s) for s in many])
-    every = np.concatenate(many)
-    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
-    both = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
-    return 100 * both >= percent * (len(one) + size - both)
+    members = written(texts.select("key", "label", F.explode(F.array(*values)).alias("bucket")), "buckets")
+    counts = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    mixed = written(counts.filter("lo <> hi").select("bucket", F.ceil(F.col("n") / PART).alias("parts")), "mixed")
+    short = written(texts.mapInArrow(_short, texts.schema), "short")
+    rows = members.select("key", "bucket").join(mixed, "bucket").join(short, "key")
+    columns = ["key", "label", "n_shingles", "sig"]
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches):
+            yield _reached([t], percent, least)
+
+    whole = rows.filter("parts = 1").select("bucket", *columns).repartition("bucket").sortWithinPartitions("bucket")
+    found = whole.mapInArrow(small, "a binary, b binary")
+    if not mixed.filter("parts > 1").isEmpty():
+        cut = rows.filter("parts > 1").select(F.xxhash64("bucket", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block"), *columns)
+        blobs = written(packed(cut, "block", columns), "parts")
+        i, k = (F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias(c) for c in "ik")
+        pairs = mixed.filter("parts > 1").select("bucket", "parts", i).select("bucket", "i", k).filter("i <= k")
+        found = found.unionByName(paired(pairs.select(F.xxhash64("bucket", "i").alias("x"), F.xxhash64("bucket", "k").alias("y")), blobs, lambda x, y: _reached([x] if y is None else [x, y], percent, least)))
+    return written(found.distinct(), "meetings")
+
+
+def paired(pairs: DataFrame, blobs: DataFrame, compare, schema: str = "a binary, b binary") -> DataFrame:
+    """compare(x, y) for each of pairs (x, y) of blocks of blobs (block, data); y is None where they are the same block."""
+    pairs = pairs.withColumn("pair", F.xxhash64("x", "y"))
+    sides = pairs.select("pair", F.col("x").alias("block"), F.lit(0).alias("side")).unionByName(pairs.filter("x <> y").select("pair", F.col("y").alias("block"), F.lit(1).alias("side")))
+
+    def run(group: pa.Table) -> pa.Table:
+        blocks = dict(zip(group.column("side").to_pylist(), group.column("data"), strict=True))
+        return pa.Table.from_batches([compare(*(unpacked(blocks[s].as_py()) if s in blocks else None for s in (0, 1)))])
+
+    return sides.join(blobs, "block").select("pair", "side", "data").groupBy("pair").applyInArrow(run, schema)
