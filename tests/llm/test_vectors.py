@@ -84,3 +84,44 @@ def test_search_ties_few_candidates_and_odd_rows(spark):
     many = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(200)], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["vec_id"]) for r in ann.search(many, F.col("vec_id") == 50).orderBy("rank").collect()]
     assert got == [(50, i) for i in range(5)]
+
+
+def test_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(3)
+    x = {d: np.concatenate([b := rng.standard_normal((40, d)), b + 0.1 * rng.standard_normal((40, d))]) for d in (5, 8)}
+    rows = [(2 * i + (d == 8), v.tolist()) for d in x for i, v in enumerate(x[d])] + [(1000, [1.0, 0.0]), (1001, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {1000: (1, 1000), 1001: (1, 1000)}
+    for d, m in x.items():
+        ids = 2 * np.arange(len(m)) + (d == 8)
+        want |= brute_links(ids, m / np.linalg.norm(m, axis=1, keepdims=True))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, block=30, cell_rows=20).collect()}
+    assert got == want
+    from pyspark.sql import functions as F
+
+    found = {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") >= 1000).collect()}
+    assert found == {(1000, 1001), (1001, 1000)}
+    near = {}
+    for r in ann.search(df, F.col("vec_id") < 20).collect():
+        near.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all(len(v) == 5 and {i % 2 for i in v} == {q % 2} for q, v in near.items()) and len(near) == 20
+
+
+def test_search_recall_beside_a_hot_vector(spark):
+    """Half of all rows are one vector; the others are found as well as without it."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((20_000, 16))
+    rows = [(i, v.tolist(), i % 400 == 0) for i, v in enumerate(x)] + [(100_000 + i, x[7].tolist(), False) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, asked boolean")
+    from pyspark.sql import functions as F
+
+    got = {}
+    for r in ann.search(df.withColumnRenamed("vec_id", "key"), F.col("asked"), vec_id="key").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 20_000, 400):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(got[q] & {int(b) for b in np.argsort(-s, kind="stable")[:5]})
+    assert hit / 250 >= 0.9

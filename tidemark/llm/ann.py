@@ -5,8 +5,10 @@ neighbours lie in. Every row goes to its most probable part; a query looks at it
 what it finds by exact cosines. How many parts are looked at is set on sampled vectors that the classifier has not seen, so
 that they find at least `recall` of their neighbours.
 
-Rows that are null, empty, zero, hold null or non-finite components, have an uncommon length or no vec_id take no part.
-Equal vectors tie, and ties go to the smaller vec_id. Fewer candidates than k give fewer rows.
+Rows that are null, empty, zero, hold null or non-finite components or have no vec_id take no part. Vectors are compared with those
+of their own length; the V.MODELS commonest lengths have learned partitions, each other length is one part. Copies of one vector
+count once in what is learned. Equal vectors tie, and ties go to the smaller vec_id. Fewer candidates than k give fewer rows,
+an empty table none. Queries may be chosen by any column of df; no column but these two is returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import vectors as V
-from tidemark.plans.storage import written
+from tidemark.llm.common import packed, unpacked
+from tidemark.plans.storage import scoped, written
 
 #: Rows a part has about, fewest and most parts, neighbours in the graph, hidden units, passes, recall aimed at.
 PART_ROWS, FEWEST, MOST, NEIGHBOURS, HIDDEN, PASSES, RECALL = 4096, 4, 256, 10, 128, 40, 0.96
@@ -122,42 +125,55 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
 
+@scoped
 def search(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of df for which queries holds, itself left out."""
     spark = df.sparkSession
-    out_schema = "query_id long, vec_id long, score double"
-    rows = V.prepared(df, vec_id, embedding).filter("key is not null and vec_id is not null")
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = V.prepared(df, vec_id, embedding, queries).filter("key is not null and vec_id is not null")
     rows = written(rows, "vectors")
-    dims = rows.groupBy("n_dim").count().orderBy(F.desc("count"), "n_dim").head()
-    if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, n = rows.filter(F.col("n_dim") == dims["n_dim"]), dims["count"]
-    parts = min(MOST, max(FEWEST, n // part_rows))
-    router, probes = fit(V.fit_sample(rows, n), parts, k, recall)
-    shared = spark.sparkContext.broadcast(router)
+    # parts of one length are numbered from its offset
+    models: dict[int, tuple[int, Router | None, int]] = {}
+    offset = 0
+    for i, (dim, n) in enumerate(V.lengths(rows).items()):
+        parts = min(MOST, max(FEWEST, n // part_rows)) if i < V.MODELS else 1
+        router, probes = fit(V.fit_sample(rows, dim, n), parts, k, recall) if parts > 1 else (None, 1)
+        models[dim] = offset, router, probes
+        offset += parts if router else 1
+    if not models:
+        return nothing
+    shared = spark.sparkContext.broadcast(models)
 
     def route(batches):
         for batch in batches:
-            x = V.matrix(batch.column(2).to_pylist())
-            place = np.argsort(-shared.value.scores(V.units(x)), axis=1, kind="stable")[:, :probes] if shared.value and len(x) else np.zeros((len(x), 1), int)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place[:, 0].astype(np.int32)), pa.array(place.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["vec_id", "key", "vec", "cell", "cells"])
-
-    routed = written(rows.select("vec_id", "key", "vec").mapInArrow(route, "vec_id long, key binary, vec binary, cell int, cells array<int>"), "routed")
+            cells: list[np.ndarray] = [np.zeros(0, np.int32)] * batch.num_rows
+            for dim, at, x in V.by_length(batch):
+                first, router, probes = shared.value[dim]
+                place = np.argsort(-router.scores(V.units(x)), axis=1, kind="stable")[:, :probes] if router else np.zeros((len(x), 1), int)
+                for i, p in zip(at, (first + place).astype(np.int32), strict=True):
+                    cells[i] = p
+            home = pa.array([int(c[0]) for c in cells], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, home, pa.array(cells, pa.list_(pa.int32()))], names=["vec_id", "asked", "key", "n_dim", "vec", "cell", "cells"])
+
+    routed = rows.select("vec_id", "asked", "key", "n_dim", "vec").mapInArrow(route, "vec_id long, asked boolean, key binary, n_dim int, vec binary, cell int, cells array<int>")
+    routed = written(routed, "routed")
     # the key deals rows out to blocks, so equal vectors get one that is their own
     routed = routed.withColumn("key", F.concat("key", F.col("vec_id").cast("string").cast("binary")))
     index = V.blocks_of({r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}, BLOCK)
-    asked = routed.filter(queries).select("vec_id", "key", "vec", F.explode("cells").alias("cell"))
+    asked = routed.filter("asked").select("vec_id", "key", "vec", F.explode("cells").alias("cell"))
     lists = V.blocks_of({r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}, QUERIES)
-    pairs = [(c, q, i) for c, (qa, qn) in lists.items() if c in index for q in range(qa, qa + qn) for i in range(index[c][0], index[c][0] + index[c][1])]
-    if not pairs:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blobs = written(V.packed(V.dealt(routed, index), "vec_id long, vec binary"), "index")
-    qblobs = written(V.packed(V.dealt(asked, lists), "vec_id long, vec binary"), "queries")
-    wanted = spark.createDataFrame([(n, q, i) for n, (_, q, i) in enumerate(pairs)], "pair int, q int, i int")
-    sides = wanted.join(qblobs, wanted["q"] == qblobs["block"]).select("pair", F.lit(0).alias("side"), "data").unionByName(wanted.join(blobs, wanted["i"] == blobs["block"]).select("pair", F.lit(1).alias("side"), "data"))
+    if not lists:
+        return nothing
+    blobs = written(packed(V.dealt(routed, index), "block", ["vec_id", "vec"]), "index")
+    qblobs = written(packed(V.dealt(asked, lists), "block", ["vec_id", "vec"]), "queries")
+    # a row a part goes to the executors, and there becomes a row for each pair of its blocks
+    spread = lambda blocks, c: spark.createDataFrame([(cell, a, n) for cell, (a, n) in blocks.items()], "cell int, first int, n int").select("cell", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias(c))
+    wanted = spread(lists, "q").join(spread(index, "i"), "cell").select("q", "i", F.xxhash64("q", "i").alias("pair"))
+    side = lambda c, n, blocks: wanted.select("pair", F.col(c).alias("block")).join(blocks, "block").select("pair", F.lit(n).alias("side"), "data")
+    sides = side("q", 0, qblobs).unionByName(side("i", 1, blobs))
 
     def compare(group: pa.Table) -> pa.Table:
-        data = {int(s): V.unpacked(d) for s, d in zip(group.column("side").to_pylist(), group.column("data").to_pylist(), strict=True)}
+        data = {int(s): unpacked(d) for s, d in zip(group.column("side").to_pylist(), group.column("data").to_pylist(), strict=True)}
         qi, xi = data[0].column("vec_id").to_numpy(), data[1].column("vec_id").to_numpy()
         q, x = V.matrix(data[0].column("vec").to_pylist()), V.matrix(data[1].column("vec").to_pylist())
         uq, ux = V.units(q), V.units(x)
@@ -176,6 +192,6 @@ def search(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", e
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    near = written(sides.groupBy("pair").applyInArrow(compare, out_schema), "near").distinct()
+    near = written(sides.groupBy("pair").applyInArrow(compare, "query_id long, vec_id long, score double"), "near").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,8 +6,10 @@ if x lies in cell i and y in cell j, then y is not nearer to i's centre, so x is
 between the centres; for a cosine of at least t, |x - y| is at most sqrt(2 - 2t). No pair is lost; where the data have no
 clusters the test spares little, and all blocks meet.
 
-Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do those whose length is
-not the most common one, and rows without vec_id. Rows that repeat a vec_id count as one vector each in n_links' classes.
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do rows without vec_id. Only
+vectors of one length can link; each length has its own cells, the V.MODELS commonest lengths by k-means, the others one
+each. Rows that repeat a vec_id count as one vector each in n_links' classes. Ties do not matter. An empty table gives an empty one.
+Other columns are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import vectors as V
-from tidemark.llm.components import components
-from tidemark.plans.storage import written
+from tidemark.llm.common import packed, unpacked
+from tidemark.llm.components import components, spanning
+from tidemark.plans.storage import scoped, written
 
 THRESHOLD = 0.9
 #: Classes that a cell has about, most cells, rounds of k-means.
@@ -65,66 +68,59 @@ def _links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[
     return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
 
 
-def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """A node of its component for each of n nodes."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def link_classes(classes: DataFrame, threshold: float = THRESHOLD, block: int = V.BLOCK, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS) -> DataFrame:
-    """From classes (key, vec, n): (key, links, other), where links sums to the linked vectors of other classes, and the pairs key, other span the components."""
+    """From classes (key, n_dim, vec, n): (key, links, other), where links sums to the linked vectors of other classes, and the pairs key, other span the components."""
     spark = classes.sparkSession
-    n = classes.count()
     schema = "key binary, links long, other binary"
-    if not n:
+    # cells of one length are numbered from its offset
+    models: dict[int, tuple[int, np.ndarray | None]] = {}
+    offset = 0
+    for i, (dim, n) in enumerate(V.lengths(classes).items()):
+        k = min(most_cells, n // cell_rows) if i < V.MODELS else 0
+        x = V.fit_sample(classes, dim, n) if k > 1 else None
+        models[dim] = offset, None if x is None else spherical_kmeans(x, min(k, len(x)))
+        offset += 1 if x is None else len(models[dim][1])
+    if not models:
         return spark.createDataFrame([], schema)
-    x = V.fit_sample(classes, n)
-    centres = spherical_kmeans(x, min(most_cells, max(1, n // cell_rows), len(x))) if len(x) else None
-    shared = spark.sparkContext.broadcast(centres)
+    shared = spark.sparkContext.broadcast(models)
 
     def assign(batches):
         for batch in batches:
-            if batch.num_rows and shared.value is not None:
-                cell = (V.units(V.matrix(batch.column(1).to_pylist())) @ shared.value.T).argmax(1)
-            else:
-                cell = np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["key", "vec", "n", "cell"])
+            cell = np.zeros(batch.num_rows, np.int32)
+            for dim, at, x in V.by_length(batch):
+                first, centres = shared.value[dim]
+                cell[at] = first if centres is None else first + (V.units(x) @ centres.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["key", "n_dim", "vec", "n", "cell"])
 
-    homed = written(classes.select("key", "vec", "n").mapInArrow(assign, "key binary, vec binary, n long, cell int"), "homed")
+    homed = written(classes.select("key", "n_dim", "vec", "n").mapInArrow(assign, "key binary, n_dim int, vec binary, n long, cell int"), "homed")
     cells = V.blocks_of({r["cell"]: r["count"] for r in homed.groupBy("cell").count().collect()}, block)
     homed = V.dealt(homed, cells)
 
     def reach(batches):
         for batch in batches:
-            if not batch.num_rows or shared.value is None:
-                continue
-            cell, at = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            can = reachable(V.units(V.matrix(batch.column(0).to_pylist())), shared.value, cell, threshold)
-            pairs = {(int(b), int(j)) for b in np.unique(at) for j in np.flatnonzero(can[at == b].any(0)) if j in cells}
-            pairs = sorted(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.int32())], names=["b1", "cell"])
-
-    met = homed.select("vec", "cell", "block").mapInArrow(reach, "b1 int, cell int").distinct()
+            pairs: set[tuple[int, int]] = set()
+            cell, block = batch.column("cell").to_numpy(), batch.column("block").to_numpy()
+            for dim, at, x in V.by_length(batch):
+                first, centres = shared.value[dim]
+                if centres is None:
+                    continue
+                can = reachable(V.units(x), centres, cell[at] - first, threshold)
+                pairs |= {(int(b), first + int(j)) for b in np.unique(block[at]) for j in np.flatnonzero(can[block[at] == b].any(0)) if first + int(j) in cells}
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in sorted(pairs)], pa.int32()) for c in (0, 1)], names=["b1", "cell"])
+
+    met = homed.select("n_dim", "vec", "cell", "block").mapInArrow(reach, "b1 int, cell int").distinct()
     firsts = spark.createDataFrame([(c, a, k) for c, (a, k) in cells.items()], "cell int, first int, k int")
     own = homed.select(F.col("block").alias("b1"), "cell").distinct()
     met = met.unionByName(own).distinct().join(F.broadcast(firsts), "cell").select("b1", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("k") - 1)).alias("b2"))
     # both directions pass the test if any pair links, so one is enough
     pairs = written(met.filter("b1 <= b2").withColumn("pair", F.xxhash64("b1", "b2")), "blockpairs")
-    blobs = written(V.packed(homed, "key binary, vec binary, n long"), "blocks")
+    blobs = written(packed(homed, "block", ["key", "vec", "n"]), "blocks")
     sides = pairs.select("pair", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
     sides = sides.join(blobs, "block")
 
     def compare(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("block").to_numpy())
-        tables = [V.unpacked(group.column("data")[int(o)].as_py()) for o in order]
+        tables = [unpacked(group.column("data")[int(o)].as_py()) for o in order]
         same = len(tables) == 1
         keys = [t.column("key").to_pylist() for t in tables]
         xs = [V.units(V.matrix(t.column("vec").to_pylist())) for t in tables]
@@ -134,19 +130,19 @@ def link_classes(classes: DataFrame, threshold: float = THRESHOLD, block: int =
         names, weight = keys[0] + ([] if same else keys[1]), ns[0] if same else np.concatenate(ns)
         j = j + shift
         links = np.bincount(i, weight[j], len(names)) + np.bincount(j, weight[i], len(names))
-        root = _spanning(len(names), i, j)
+        root = spanning(len(names), i, j)
         used = np.flatnonzero(links)
         return pa.table({"key": pa.array([names[u] for u in used], pa.binary()), "links": pa.array(links[used].astype(np.int64)), "other": pa.array([names[root[u]] for u in used], pa.binary())})
 
     return written(sides.groupBy("pair").applyInArrow(compare, schema), "links")
 
 
+@scoped
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, **kw) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of df."""
-    rows = written(V.prepared(df, vec_id, embedding), "vectors")
-    dims = rows.filter("n_dim > 0 and vec_id is not null").groupBy("n_dim").count().orderBy(F.desc("count"), "n_dim").head()
-    takes = (F.col("n_dim") == (dims["n_dim"] if dims else 0)) & F.col("vec_id").isNotNull() & F.col("key").isNotNull()
-    classes = written(rows.filter(takes).groupBy("key").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("vec").alias("vec")), "classes")
+    rows = written(V.prepared(df, vec_id, embedding).drop("asked"), "vectors")
+    takes = F.col("vec_id").isNotNull() & F.col("key").isNotNull()
+    classes = written(rows.filter(takes).groupBy("key").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_dim").alias("n_dim"), F.max("vec").alias("vec")), "classes")
     links = link_classes(classes, threshold, **kw)
     labels = components(links.select(F.col("key").alias("a"), F.col("other").alias("b")))
     per = classes.select("key", "first", "n").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left")
