@@ -35,6 +35,45 @@ def test_tree_encoding_equals_the_library():
             assert codec.decode(ids) == t.encode()
 
 
+PATTERNS = [
+    r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
+    r"\"[^\"]*\"|[a-z]+|\s+|[\s\S]",
+    r"(?:ab)+|(?:é|1)*x|[\s\S]",
+    r"[a-z]{2,}|\p{N}{3}|.|\n",
+    r"\p{L}+",
+]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_tree_encoding_by_other_patterns(pattern):
+    """Patterns that look far ahead, repeat groups, or leave characters out."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abab c'\"\n  .,1é日 xll") for _ in range(rnd.randrange(1, 300))) for _ in range(300)] + ['"' + "ab " * 200, "x" + " ab" * 300 + '"', "1é" * 200 + "x"]
+    for leaf in (1, 5, 40):
+        codec = bpe.Codec(bpe.load_ranks(RANKS), pattern, leaf=leaf, window=1)
+        assert [codec.encode(t) for t in texts] == [codec.enc.encode_ordinary(t) for t in texts]
+        assert codec.joins
+
+
+def test_patterns_that_look_behind_are_refused():
+    for pattern in (r"\bx|.", "^a|.", "(?<=a)b|.", "a(?<!b)|."):
+        with pytest.raises(ValueError, match="looks behind"):
+            bpe.Codec(bpe.load_ranks(RANKS), pattern)
+
+
+def test_most_texts_are_joined_and_every_code_point_is_cut_as_the_library_cuts_it(spark):
+    codec = bpe.Codec(bpe.load_ranks(RANKS), P.PATTERN)
+    joined, docs = 0, [r["text"] or "" for r in spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("text").limit(2000).collect()]
+    for t in docs:
+        before = codec.joins
+        assert codec.encode(t) == codec.enc.encode_ordinary(t)
+        joined += codec.joins > before
+    assert joined > 0.6 * len(docs)
+    for lo in range(0, 0x110000, 64):
+        t = "".join(f"a{chr(c)}1{chr(c)}. {chr(c)}\n" for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000)
+        assert codec.encode(t) == codec.enc.encode_ordinary(t)
+
+
 def test_bpe_query(spark):
     enc = whole()
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
