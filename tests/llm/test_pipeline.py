@@ -46,7 +46,7 @@ def test_pipeline_equals_a_plain_version(spark):
     model = langid.Model(langid.sample(docs))
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     said = model.predict([t for _, t, _ in rows])
-    rows = [r for r, (lang, _, rate) in zip(rows, said, strict=True) if lang != "und" and not (rate > 0.5 and len(r[1]) >= 64)]
+    rows = [r for r, (lang, _, rate, strange) in zip(rows, said, strict=True) if lang != "und" and not (rate > 0.5 and len(r[1]) >= 64 or strange > 0.5)]
     assert len(rows) >= 0.95 * docs.count()
     near = brute.near([(d, t) for d, t, _ in rows], 5)
     rows = [(d, PLANTED.sub("[SECRET]", t), s) for d, t, s in rows if near[d][1] == d]

@@ -46,12 +46,6 @@ def fresh(taken: Iterable[str], *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def refuse(df: DataFrame, *names: str) -> None:
-    """Fails if df has a column that an operator is about to add: its values would be lost without a word."""
-    if clash := sorted({c for c in df.columns if c.lower() in {n.lower() for n in names}}):
-        raise ValueError(f"columns {', '.join(clash)} would be overwritten; rename them first")
-
-
 def binaries(rows: np.ndarray) -> pa.BinaryArray:
     """A row of bytes for each row of a two-dimensional array."""
     n, width = rows.shape

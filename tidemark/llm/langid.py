@@ -9,8 +9,9 @@ a mark. Following it is then one look-up for a symbol, and many texts go side by
 of LANE symbols of a text, and each block begins a phrase of its own; so time and memory do not depend on text lengths.
 
 Null texts and texts without a letter get `und` and score 0, as does every text if there is nothing to learn from. Rows
-with a null doc_id are neither learned from nor held out. Ties go to the language that sorts first. Repeated rows and other
-columns don't matter.
+with a null doc_id are neither learned from nor held out. Ties go to the language that sorts first. Repeated rows count each,
+an empty table gives an empty one. Other columns don't matter; identify() puts its values in place of columns that bear the
+names of what it adds, in_a_language() returns all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
+
+from tidemark.llm.common import fresh
 
 UND = "und"
 #: The bounded sample: documents drawn for a language, most characters of one (longer ones are passed over unless a
 #: language has no others), characters kept of a language, and of all languages together.
 SAMPLE_DOCS, SAMPLE_LONGEST, SAMPLE_CHARS, SAMPLE_TOTAL = 64, 8192, 24_000, 400_000
-#: Symbols of the alphabet: 0 fills up blocks, 1 is any character not in it, 2 is white space and punctuation.
-ALPHABET, LANE = 128, 2048
+#: Symbols of the alphabet: 0 fills up blocks, 1 is any letter that no sample has, 2 is white space and punctuation. The OWN commonest
+#: letters of the samples have a symbol each; the others, in scripts with many letters, share what is left, by code point.
+ALPHABET, OWN, LANE = 128, 96, 2048
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,7 +50,9 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     h = F.xxhash64(F.col(doc_id), F.lit(11))
     # the hash loses a bit to rank long texts last
     rank = F.shiftrightunsigned(h, 2) + F.when(F.length(text) > SAMPLE_LONGEST, F.lit(2**62)).otherwise(F.lit(0))
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(h, F.lit(SAMPLE_DOCS)).alias("slot"), rank.alias("rank"))
+    # a sample never keeps more than this of a text, so that no more comes to the driver
+    part = F.left(F.col(text), F.lit(SAMPLE_CHARS))
+    rows = rows.select(F.col(lang).alias("lang"), part.alias("text"), F.pmod(h, F.lit(SAMPLE_DOCS)).alias("slot"), rank.alias("rank"))
     drawn = rows.groupBy("lang", "slot").agg(F.min("rank").alias("rank")).collect()
     if not drawn:
         return []
@@ -97,16 +104,18 @@ class SuffixAutomaton:
         self.last = new
 
     def dense(self, size: int) -> np.ndarray:
-        """Entry state * size + symbol: twice the next state's offset, odd if a phrase ended. Symbol 0 stays without a phrase."""
+        """Entry state * size + symbol: twice the next state's offset, odd if a phrase ended. Symbol 0 stays without a phrase. A last state,
+        beside the automaton's, is where symbols lead that the text does not have: each is a phrase of its own."""
         n = len(self.moves)
-        root = np.zeros(size, np.int64)
+        root = np.full(size, n, np.int64)
         for c, q in self.moves[0].items():
             root[c] = q
-        table = np.tile(root * size * 2 + 1, (n, 1))
+        table = np.tile(root * size * 2 + 1, (n + 1, 1))
+        table[0] -= 1  # no phrase ends where none has begun
         for s, m in enumerate(self.moves):
             for c, q in m.items():
                 table[s, c] = q * size * 2
-        table[:, 0] = np.arange(n) * size * 2
+        table[:, 0] = np.arange(n + 1) * size * 2
         return table.ravel()
 
 
@@ -126,19 +135,19 @@ class Model:
             for ch in t:
                 if ch.isalpha() and ord(ch) < 0xFFFF:
                     counts[ch] = counts.get(ch, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 3]
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
         self.table = np.ones(0x10000, np.uint8)
         for i in range(0xFFFF):
             if not chr(i).isalpha():
                 self.table[i] = 2
         for i, ch in enumerate(letters):
-            self.table[ord(ch)] = i + 3
-        self.size = len(letters) + 3
+            self.table[ord(ch)] = 3 + (i if i < OWN else OWN + ord(ch) % (ALPHABET - 3 - OWN))
+        self.size = 3 + len(letters) if len(letters) <= OWN else ALPHABET
+        self.kept = {name: np.concatenate([_symbols(t, self.table) for t in ts]) for name, ts in kept.items()}
         self.moves = []
         for name in self.langs:
             a = SuffixAutomaton()
-            for t in kept[name]:
-                a.feed(_symbols(t, self.table))
+            a.feed(self.kept[name])
             self.moves.append(a.dense(self.size).astype(np.int32 if len(a.moves) * self.size < 2**30 else np.int64))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -165,34 +174,40 @@ class Model:
                 np.add.at(out[:, g], owner, ends + 1)
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """(language, score, phrases by symbols) of each text; the score is how much of the second-best language's phrases the best one spares."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, float]]:
+        """(language, score, phrases by symbols, share of letters that no sample has) of each text; the score is how much of the
+        second-best language's phrases the best one spares."""
         if not self.langs:
-            return [(UND, 0.0, 0.0)] * len(texts)
+            return [(UND, 0.0, 0.0, 0.0)] * len(texts)
         symbols = [_symbols(t, self.table) if t else np.zeros(0, np.uint8) for t in texts]
         found = self.phrases(symbols)
         best = found.argmin(1)
         out = []
         for i, t in enumerate(texts):
             if not t or not any(c.isalpha() for c in t):
-                out.append((UND, 0.0, 0.0))
+                out.append((UND, 0.0, 0.0, 0.0))
                 continue
             b = found[i, best[i]]
             rest = np.delete(found[i], best[i])
-            out.append((self.langs[best[i]], float(1 - b / rest.min()) if len(rest) else 1.0, float(b / max(1, len(symbols[i])))))
+            out.append((self.langs[best[i]], float(1 - b / rest.min()) if len(rest) else 1.0, float(b / max(1, len(symbols[i]))), float((symbols[i] == 1).sum() / max(1, (symbols[i] != 2).sum()))))
         return out
 
 
 _models: dict[str, Model] = {}
 
 
-def identify(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Adds lang_pred, score and phrase_rate to all columns of docs (columns of those names are replaced). Learns from labelled, or from docs."""
+ADDED = ("lang_pred", "score", "phrase_rate", "unlearned")
+
+
+def identify(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", names: tuple[str, ...] = ADDED) -> DataFrame:
+    """Adds what Model.predict() says, under names, to all columns of docs (columns of those names are replaced). Learns from labelled, or from docs."""
     texts = sample(docs if labelled is None else labelled)
     shared, name = docs.sparkSession.sparkContext.broadcast(texts), uuid.uuid4().hex
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "phrase_rate")]
+    keep = [c for c in docs.columns if c.lower() not in names or c == text]
     place = keep.index(text)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([docs.schema[c] for c in keep]).add(names[0], StringType())
+    for n in names[1:]:
+        schema = schema.add(n, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _models:
@@ -203,18 +218,20 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, text: str = "te
             out = []
             for at in range(0, batch.num_rows, 2048):
                 out += model.predict(batch.column(place).slice(at, 2048).to_pylist())
-            cols = [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*keep, "lang_pred", "score", "phrase_rate"])
+            cols = [pa.array([r[i] for r in out], pa.float64() if i else pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*keep, *names])
 
-    return docs.select(*keep).mapInArrow(run, f"{schema}, lang_pred string, score double, phrase_rate double")
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
 
 
-#: Phrases by symbols beyond which a text of UNLIKE_CHARS characters or more is in no language that was learned.
-UNLIKE_RATE, UNLIKE_CHARS = 0.5, 64
+#: Phrases by symbols beyond which a text of UNLIKE_CHARS characters or more is in no language that was learned (each text begins a
+#: phrase, which says little about a short one); share of letters that no sample has beyond which a text of any length is in none.
+UNLIKE_RATE, UNLIKE_CHARS, UNLEARNED = 0.5, 64, 0.5
 
 
 def in_a_language(docs: DataFrame, text: str = "text", **kw) -> DataFrame:
     """Rows of docs whose text is in one of the learned languages: it has letters, and does not fall apart into short phrases."""
-    found = identify(docs, text=text, **kw)
-    unlike = (F.col("phrase_rate") > UNLIKE_RATE) & (F.length(text) >= UNLIKE_CHARS)
-    return found.filter((F.col("lang_pred") != UND) & ~unlike)
+    lang, _, rate, strange = names = fresh(docs.columns, *ADDED)
+    found = identify(docs, text=text, names=names, **kw)
+    unlike = (F.col(rate) > UNLIKE_RATE) & (F.length(text) >= UNLIKE_CHARS) | (F.col(strange) > UNLEARNED)
+    return found.filter((F.col(lang) != UND) & ~unlike).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,13 +2,16 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The method adds terms: with p() the share of
 distinct texts, a term t discloses an entity e (one address or number) as far as PMI(e; t) = log p(e, t) / (p(e) p(t)) comes
-near the entity's information IC(e) = -log p(e). The ratio is 1 if each text with t has e. From GENERALISE on, a term is replaced by a
-label; from REMOVE on, it is deleted; and this goes for every text, also where the entity itself is missing.
+near the entity's information IC(e) = -log p(e). The ratio is 1 if each text with t has e. From GENERALISE on, a term gives way to what many terms share,
+its first character; from LABEL on, to a label that all share; from REMOVE on, it is deleted; and this goes for every text,
+also where the entity itself is missing.
 Entities, terms and their co-occurrence are counted over whole distinct texts, so copies count once; how far a term stands from
 the entity does not matter. Pairs are listed for entities of SUPPORT texts or more, and without terms that stand in too many
 texts to come near any ratio that counts.
 
-Null and empty texts have no spans. Rows that repeat a doc_id stay as they are. Matches that fail a check (parts, digits,
+Null and empty texts have no spans; an empty table gives an empty one. Rows that repeat a doc_id stay as they are. Copies of a
+text get the same spans. Terms whose ratios are equal fare equally. Only doc_id and text are read; sanitised() returns all
+columns, and changes none but the text. Matches that fail a check (parts, digits,
 Luhn) are dropped without another try. All steps are built-in expressions; what is broadcast is checked in size.
 """
 
@@ -18,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import spans as P
-from tidemark.plans.storage import written
+from tidemark.llm.common import fresh
+from tidemark.plans.storage import scoped, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns without a way back, so that no text makes them slow; each stands for the plain one beside it.
@@ -30,8 +34,8 @@ CARD = r"(?<![0-9])(?=(?:[0-9][ -]?){13}[0-9])[0-9]++(?:[ -][0-9]++)*+"  # [0-9]
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Distinct texts with both entity and term that a term needs.
 SUPPORT = 3
-#: Disclosure ratios from which a term is generalised and removed.
-GENERALISE, REMOVE = 0.9, 0.97
+#: Disclosure ratios from which a term is cut to its first character, generalised wholly, and removed.
+GENERALISE, LABEL, REMOVE = 0.9, 0.93, 0.97
 #: A term: three letters or digits or more, letter case aside.
 TERM = r"[\p{L}\p{N}]{3,}+"
 #: Rows of a table that is broadcast, at most.
@@ -133,11 +137,17 @@ def disclosures(rows: DataFrame, docs: DataFrame, text: str = "text") -> tuple[D
     both = written(both.select("entity", "term", "n", "n_e", "n_et"), "pairs")
     counts = written(term_counts(rows, docs, both.select("term").distinct(), text), "counts")
     scored = both.join(counts, "term").withColumn("ratio", ratio(F.col("n_et"), F.col("n_e"), F.col("n_t"))).filter(F.col("ratio") >= GENERALISE)
-    label = F.when(F.col("ratio") >= REMOVE, F.lit("")).when(F.col("term").rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("[TERM]"))
+    label = F.when(F.col("ratio") >= REMOVE, F.lit("")).otherwise(generalised(F.col("term"), F.col("ratio")))
     flagged = written(scored.groupBy("term").agg(F.max("ratio").alias("ratio")).select("term", "ratio", label.alias("label")), "flagged")
     return flagged, written(term_texts(docs, flagged.select("term"), text), "held")
 
 
+def generalised(term: Column, ratio: Column) -> Column:
+    """What stands for a term: 4711 becomes [4...] and then [NUMBER], a word [w...] and then [TERM]."""
+    kind = F.when(term.rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("[TERM]"))
+    return F.when(ratio >= LABEL, kind).otherwise(F.concat(F.lit("["), F.substring(term, 1, 1), F.lit("...]")))
+
+
 def _term_spans(text: Column, terms: Column) -> Column:
     """Spans of those words that are in terms; only they are put into an array, so that long texts are not slow."""
     words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
@@ -161,6 +171,7 @@ def _texts_with_terms(docs: DataFrame, flagged: DataFrame, held: DataFrame, text
     return rows.withColumn("found", _term_spans(F.col("text"), F.map_keys("terms")))
 
 
+@scoped
 def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans of each row."""
     rows = written(analysed(docs, text, doc_id), "analysed")
@@ -176,19 +187,27 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return out.select("doc_id", *(n(k) for k in KINDS), F.size("more").cast("long").alias("n_term"), F.sha2(P.joined(F.col("base")), 256).alias("base_sha256"), P.joined(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
-def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with personal data replaced by labels, and disclosing terms generalised or removed."""
+@scoped
+def _term_labels(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(digest, terms, found) of distinct texts that hold flagged terms."""
     rows = written(analysed(docs, text, doc_id), "analysed")
     flagged, held = disclosures(rows, docs, text)
     extra = _texts_with_terms(docs, flagged, held, text).select("digest", "terms", "found")
-    extra = written(extra.groupBy("digest").agg(F.first("terms").alias("terms"), F.max("found").alias("found")), "extra")
+    return extra.groupBy("digest").agg(F.first("terms").alias("terms"), F.max("found").alias("found"))
+
+
+def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with personal data replaced by labels, and disclosing terms generalised or removed. Its columns stay, whatever their names."""
+    extra = _term_labels(docs, text, doc_id)
+    digest, terms, found, base, every = fresh(docs.columns, "_digest", "_terms", "_found", "_base", "_all")
+    extra = extra.toDF(digest, terms, found)
     t = F.col(text)
-    full = docs.withColumn("_digest", F.md5(F.coalesce(t, F.lit("")).cast("binary"))).join((F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra).withColumnRenamed("digest", "_digest").withColumnRenamed("terms", "_terms").withColumnRenamed("found", "_found"), "_digest", "left")
-    full = full.withColumn("_base", _marked(base_spans(F.coalesce(t, F.lit("")))))
+    full = docs.withColumn(digest, F.md5(F.coalesce(t, F.lit("")).cast("binary"))).join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra, digest, "left")
+    full = full.withColumn(base, _marked(base_spans(F.coalesce(t, F.lit("")))))
     # of overlapping spans the first stays, and terms give way
-    apart = F.filter("_base", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & ((b["start"] < s["start"]) | ((b["start"] == s["start"]) & (b["rank"] < s["rank"])))))
-    base = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
-    free = F.filter("_found", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    more = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("_terms", F.lower(s["match"])).alias("label")))
-    full = full.withColumn("_all", F.array_sort(F.concat(base, F.coalesce(more, F.slice(base, 1, 0)))))
-    return full.withColumn(text, F.when(F.size("_all") > 0, P.replaced(t, F.col("_all"), lambda s: s["label"])).otherwise(t)).select(*docs.columns)
+    apart = F.filter(base, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & ((b["start"] < s["start"]) | ((b["start"] == s["start"]) & (b["rank"] < s["rank"])))))
+    plain = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
+    free = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    more = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(terms, F.lower(s["match"])).alias("label")))
+    full = full.withColumn(every, F.array_sort(F.concat(plain, F.coalesce(more, F.slice(plain, 1, 0)))))
+    return full.withColumn(text, F.when(F.size(every) > 0, P.replaced(t, F.col(every), lambda s: s["label"])).otherwise(t)).select(*docs.columns)

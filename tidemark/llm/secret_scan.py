@@ -8,7 +8,10 @@ path, and the words before it. It is trained on the driver from a bounded number
 rule; features of findings and of candidates come from the same expressions. Its trees become CASE expressions, so texts are
 scanned and judged by built-in functions alone, in place.
 
-Null and empty texts have no candidates. Other columns and repeated rows stay as they are.
+Null and empty texts have no candidates, an empty table gives an empty one, repeated rows are judged each, and of equal
+candidates all or none are secrets. report() returns its own columns only. redacted() returns all columns of docs, whatever
+their names, and changes none but the text. candidates() and scan() add columns under the names that they are given, in
+place of any that are there.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import spans as P
+from tidemark.llm.common import fresh
 
 SHORTEST, ASSIGNED = 12, 6
 KEY_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z]{16})[A-Za-z0-9+/_-]{" + str(SHORTEST) + ",}+"
@@ -172,15 +176,17 @@ class Forest:
 
 
 def train(spark: SparkSession, findings: Sequence[tuple[str, str, str, int]] | None = None) -> Forest:
-    """A forest from (before, candidate, after, label), FINDINGS of them at most."""
-    findings = labelled_findings() if findings is None else list(findings)[:FINDINGS]
+    """A forest from (before, candidate, after, label); of more than FINDINGS of them, as many are drawn by a fixed seed."""
+    findings = labelled_findings() if findings is None else list(findings)
+    if len(findings) > FINDINGS:
+        findings = random.Random(FINDINGS).sample(findings, FINDINGS)
     table = spark.createDataFrame([tuple(f) for f in findings], "before string, cand string, after string, label int")
     got = table.select("label", *(c.alias(k) for k, c in features(F.col("before"), F.col("cand"), F.col("after")).items())).collect()
     return Forest(np.array([r[1:] for r in got], float), np.array([r[0] for r in got], float))
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _cands: (start, end, match, before, after, parts) of each candidate of a text; parts are the candidates in it."""
+def candidates(docs: DataFrame, text: str = "text", out: str = "_cands") -> DataFrame:
+    """Adds out: (start, end, match, before, after, parts) of each candidate of a text; parts are the candidates in it."""
     t = F.coalesce(F.col(text), F.lit(""))
 
     def around(s: Column, offset: Column) -> tuple[Column, ...]:
@@ -195,11 +201,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(*(s[k].alias(k) for k in ("start", "end", "match", "before", "after")), inner.alias("parts"))
 
     found = P.find(t, CANDIDATE, t.rlike("[A-Za-z0-9+/_-]{12}|[=:]"))
-    return docs.withColumn("_cands", F.transform(F.transform(found, lambda s: F.struct(*around(s, F.lit(0)))), parted))
+    return docs.withColumn(out, F.transform(F.transform(found, lambda s: F.struct(*around(s, F.lit(0)))), parted))
 
 
-def scan(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, text: str = "text") -> DataFrame:
-    """Adds _cands and _secrets, the candidates whose score is at least keep, or else those of their parts."""
+def scan(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, text: str = "text", cands: str = "_cands", out: str = "_secrets") -> DataFrame:
+    """Adds cands, and out, the candidates whose score is at least keep, or else those of their parts."""
     forest = forest or train(docs.sparkSession)
 
     def judge(s: Column) -> Column:
@@ -212,7 +218,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, text
         good = F.filter(F.concat(F.array(whole), c["parts"]), judge)
         return F.element_at(F.transform(F.array(good), lambda g: F.when(F.exists(g, lambda s: (s["start"] == c["start"]) & (s["end"] == c["end"])), F.slice(g, 1, 1)).otherwise(g)), 1)
 
-    return candidates(docs, text).withColumn("_secrets", F.flatten(F.transform("_cands", passed)))
+    return candidates(docs, text, cands).withColumn(out, F.flatten(F.transform(cands, passed)))
 
 
 def report(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -224,5 +230,6 @@ def report(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, te
 
 def redacted(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, text: str = "text", label: str = "[SECRET]") -> DataFrame:
     """docs with each secret replaced by label; rows without one are unchanged."""
-    found = scan(docs, forest, keep, text)
-    return found.withColumn(text, F.when(F.size("_secrets") > 0, P.replaced(F.col(text), F.col("_secrets"), lambda s: F.lit(label))).otherwise(F.col(text))).select(*docs.columns)
+    cands, secrets = fresh(docs.columns, "_cands", "_secrets")
+    found = scan(docs, forest, keep, text, cands, secrets)
+    return found.withColumn(text, F.when(F.size(secrets) > 0, P.replaced(F.col(text), F.col(secrets), lambda s: F.lit(label))).otherwise(F.col(text))).select(*docs.columns)

@@ -1,7 +1,8 @@
 """URL filter: rules by host and path, then a blocked Bloom filter in front of an exact join with listed URLs.
 
 Nulls and strings without "://": host and path are empty, no rule fits, and the verdict is allow. An empty list, or an
-empty table of pages, gives no hit. Repeated rows stay. Only the URL column is read; other columns pass through untouched.
+empty table of pages, gives no hit. Repeated rows stay. Only the URL column is read; other columns pass through untouched, whatever
+their names, but for host, path, rule and verdict, which judge() replaces, and the column that listed() adds.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii
+from tidemark.llm.common import fresh, lower_ascii
 
 #: 512-bit blocks of eight words, one bit of each word for a key, and the bits spent on a listed URL.
 WORDS, BITS_A_KEY = 8, 16
@@ -72,31 +73,35 @@ def listed(df: DataFrame, key: str, listing: DataFrame, broadcast_bytes: int = B
     The filter spares most rows the shuffle: those it passes are joined exactly, so a false positive changes nothing.
     The hits of the join are few; they come back by the key.
     """
-    keys = listing.select(F.col("url").alias("_u")).filter(F.col("_u").isNotNull()).distinct()
+    u, block, probe, hit_mark, *words = fresh([*df.columns, out], "_u", "_block", "_probe", "_hit", *(f"w{i}" for i in range(WORDS)))
+    keys = listing.select(F.col("url").alias(u)).filter(F.col(u).isNotNull()).distinct()
     n = keys.count()
     n_blocks = max(1, -(-n * BITS_A_KEY // 512))
-    blocks = bloom_blocks(keys, "_u", n_blocks)
+    blocks = bloom_blocks(keys, u, n_blocks).toDF(block, *words)
     if n_blocks * (WORDS + 1) * 8 <= broadcast_bytes:
         blocks = F.broadcast(blocks)
     h = F.xxhash64(key, F.lit(7))
     passes = F.lit(True)
-    for i, b in enumerate(_bits(h)):
-        passes = passes & (F.col(f"w{i}").bitwiseAND(b) != 0)
-    marked = df.withColumn("_block", F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(n_blocks))))
-    marked = marked.join(blocks.withColumnRenamed("block", "_block"), "_block", "left").withColumn("_probe", F.when(passes, F.col(key)))
-    marked = marked.select(*df.columns, "_probe")
-    hit = marked.filter(F.col("_probe").isNotNull()).join(keys.withColumn("_hit", F.lit(True)), F.col("_probe") == F.col("_u"), "left")
-    hit = hit.select(*df.columns, F.coalesce("_hit", F.lit(False)).alias(out))
-    return hit.unionByName(marked.filter(F.col("_probe").isNull()).select(*df.columns, F.lit(False).alias(out)))
+    for w, b in zip(words, _bits(h), strict=True):
+        passes = passes & (F.col(w).bitwiseAND(b) != 0)
+    # rows without a key need no filter, and would all meet in one task where it is joined by shuffle
+    asked = df.filter(F.col(key).isNotNull())
+    marked = asked.withColumn(block, F.pmod(F.xxhash64(key), F.lit(n_blocks))).join(blocks, block, "left").withColumn(probe, F.when(passes, F.col(key)))
+    marked = marked.select(*df.columns, probe)
+    hit = marked.filter(F.col(probe).isNotNull()).join(keys.withColumn(hit_mark, F.lit(True)), F.col(probe) == F.col(u), "left")
+    hit = hit.select(*df.columns, F.coalesce(hit_mark, F.lit(False)).alias(out))
+    rest = marked.filter(F.col(probe).isNull()).select(*df.columns).unionByName(df.filter(F.col(key).isNull()))
+    return hit.unionByName(rest.withColumn(out, F.lit(False)))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], listing: DataFrame, url: str = "url", **kw) -> DataFrame:
     """Adds host, path, rule and verdict (allow or block); columns of pages with those names are replaced."""
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict") or c == url]
+    name, found = fresh([*keep, "host", "path", "rule", "verdict"], "_canonical", "_listed")
     df = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    df = df.withColumn("rule", rule_name(F.col("host"), F.col("path"), rules)).withColumn("_canonical", F.when(F.col("rule").isNull(), canonical(F.col("host"), F.col("path"))))
-    df = listed(df, "_canonical", listing, out="_listed", **kw)
+    df = df.withColumn("rule", rule_name(F.col("host"), F.col("path"), rules)).withColumn(name, F.when(F.col("rule").isNull(), canonical(F.col("host"), F.col("path"))))
+    df = listed(df, name, listing, out=found, **kw)
     by_rule = F.lit(None).cast("string")
     for r in rules:
         by_rule = F.when(F.col("rule") == r.name, F.lit("block" if r.block else "allow")).otherwise(by_rule)
-    return df.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow")))).drop("_canonical", "_listed")
+    return df.withColumn("verdict", F.coalesce(by_rule, F.when(F.col(found), F.lit("block")).otherwise(F.lit("allow")))).drop(name, found)
