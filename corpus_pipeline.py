@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, langid, minhash, mixing, secret_scan
+from tidemark.llm.common import fresh
 from tidemark.plans.storage import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.in_a_language(docs).select(*docs.columns)
+    return langid.in_a_language(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +27,14 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = secret_scan.redacted(docs.withColumn("_n", F.length("text")))
-    moved = F.length("text") - F.col("_n")
+    (before,) = fresh(docs.columns, "_n")
+    out = secret_scan.redacted(docs.withColumn(before, F.length("text")))
+    moved = F.length("text") - F.col(before)
     return out.withColumn("n_chars", (F.col("n_chars") + F.coalesce(moved, F.lit(0))).cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    return mixing.emit(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
