@@ -10,11 +10,6 @@ def test_query_equals_oracle(spark, name):
     assert n > 0
 
 
-def test_shards(spark):
-    rows = catalogue.QUERIES["shard"](spark, f"{DATA}/sf0.01").collect()
-    assert len(rows) == 750 and all(0 <= r["shard"] < 128 for r in rows)
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import Options, Store
+from tidemark.functions import scalar
 from tidemark.model import Conflict, DataNotFound, InvalidKey, Missing, TableClosed, TableDoesNotExist
 from tidemark.operators import merge as M
 from tidemark.sources.discovery import cluster_list_keys, discover, list_tables
@@ -46,7 +47,7 @@ def test_upserts_reopen_compact_and_vacuum(spark, tmp_path):
     new, gone = store.compact(0)
     assert gone >= 0 and [c["component"] for c in store.components()] == [new]
     assert state(store.snapshot()) == before == want == state(store.snapshot(at=version))
-    assert store.manifest().count() == 1 and len(store.vacuum()) == 6
+    assert store.manifest().count() == 1 and store.vacuum() == [] and len(store.vacuum(0)) == 6
     cut = sorted(t for t, _ in want.values())[len(want) // 2]
     assert [(r["key"], r["ts_ns"]) for r in store.rows(cut)] == sorted((k, t) for k, (t, _) in want.items() if t > cut)
     assert store.list_keys(cut).count() == sum(t > cut for t, _ in want.values())
@@ -83,6 +84,94 @@ def test_puts_logs_and_recovery(spark, tmp_path):
     assert not (tmp_path / "t").exists()
 
 
+def test_ticks_flush_idle_tables(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t"))
+    assert store.tick() is None
+    store.put("a", b"1", 10)
+    assert store.tick() is None and store.pending.rows
+    assert store.tick(store.pending.last_ns + 120 * S) is not None and not store.pending.rows and len(store.components()) == 1
+    assert not any(n.endswith(".write_log") for n in store.files.names())
+
+
+def test_vacuum_leaves_what_another_writer_is_about_to_publish(spark, tmp_path):
+    one, two = (Store(spark, str(tmp_path / "t"), Options(autocompact=False)) for _ in range(2))
+    one.upsert(frame(spark, [("a", 1, b"x")]))
+    unpublished = two._write(frame(spark, [("b", 2, b"y")]), 0)
+    one.compact(0)
+    assert one.vacuum() == [] and len(one.vacuum(0)) == 1
+    two._change(unpublished)
+    assert state(one.snapshot()) == {"a": (1, b"x"), "b": (2, b"y")}
+
+
+def test_upsert_looks_only_at_components_that_may_hold_newer_rows(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "t"), Options(autocompact=False))
+    for k, t in (("a", 5), ("m", 50), ("z", 50)):
+        store.upsert(frame(spark, [(k, t, b"1")]))
+    read, looked = store._read, []
+    monkeypatch.setattr(store, "_read", lambda cs: looked.append([c["first_key"] for c in cs]) or read(cs))
+    store.upsert(frame(spark, [("a", 9, b"2"), ("n", 60, b"2"), ("m", 40, b"late")]))
+    assert looked == [["m"]]
+    assert state(store.snapshot()) == {"a": (9, b"2"), "m": (50, b"1"), "z": (50, b"1"), "n": (60, b"2")}
+
+
+def test_recovery_orders_logs_and_sets_damaged_ones_aside(spark, tmp_path):
+    d = tmp_path / "t"
+    d.mkdir()
+    bad = bytearray(encode_log_record("x", 7, b"two"))
+    bad[-3] ^= 1
+    (d / "0002.write_log").write_bytes(encode_log_record("a", 5, b"second") + encode_log_record("b", 1, b"b"))
+    (d / "0001.write_log").write_bytes(encode_log_record("c", 1, b"c") + encode_log_record("a", 5, b"first") + encode_log_record("a", 5, b"again")[:-4])
+    (d / "0003.write_log").write_bytes(bytes(bad) + encode_log_record("b", 3, b"newer"))
+    store = Store(spark, str(d))
+    assert state(store.snapshot()) == {"a": (5, b"first"), "b": (3, b"newer"), "c": (1, b"c")}
+    assert store.recovered == [("0001.write_log", "ok", 2), ("0001.write_log", "truncated", 1), ("0002.write_log", "ok", 2), ("0003.write_log", "bad_checksum", 1), ("0003.write_log", "ok", 1)]
+    assert [n for n in store.files.names() if "write_log" in n] == ["0003.write_log.damaged"]
+    assert Store(spark, str(d)).recovered == []
+
+
+def test_bloom_filters_are_written_and_checksums_are_checked(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    store = Store(spark, str(tmp_path / "t"))
+    store.upsert(frame(spark, [("a", 1, b"x"), ("b", 2, b"y")]))
+    folder = tmp_path / "t" / store.components()[0]["path"]
+    parts = sorted(folder.glob("*.parquet"))
+    # the filter lies between the column data and the footer
+    assert any(p.stat().st_size > pq.read_metadata(p).serialized_size + sum(pq.read_metadata(p).row_group(0).column(i).total_compressed_size for i in range(8)) + 64 for p in parts if pq.read_metadata(p).num_rows)
+    rows = [r.asDict() for r in spark.read.parquet(str(folder)).collect()]
+    for r in rows:
+        r["checksum"] = bytearray(b"0" * 16)
+    from tidemark.model import STORED, InvalidChecksum
+
+    spark.createDataFrame(rows, STORED).coalesce(1).write.mode("overwrite").parquet(str(folder))
+    with pytest.raises(InvalidChecksum):
+        store.get("a")
+
+
+def test_hot_keys_are_cut_across_ranges(spark):
+    rnd = random.Random(9)
+    rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randrange(9)}", rnd.randrange(1, 500), b"") for _ in range(3000)]
+    from tidemark.operators import upsert as U
+
+    seen, want = {}, {}
+    for i, (k, t, _) in enumerate(rows):
+        want[i] = t > seen.get(k, 0)
+        seen[k] = max(t, seen.get(k, 0))
+    df = frame(spark, rows)
+    assert {r["seq"] for r in U.accepted(df).collect()} == {i for i, ok in want.items() if ok}
+    assert {r["seq"] for r in U.late(df).collect()} == {i for i, ok in want.items() if not ok}
+
+
+def test_display_and_ids(spark):
+    from tidemark.model import InvalidComponentId, ts_display
+
+    row = spark.createDataFrame([(1668185010123456789, b"a\xffb")], "t long, v binary").select(ts_display("t").alias("t"), scalar.lossy_text("v").alias("v"), (scalar.current_ns() > 10**18).alias("now")).head()
+    assert row["t"].isoformat().endswith(":30.123456") and row["v"] == "a\ufffdb" and row["now"]
+    assert scalar.parse_component_id("5-0000000007-3-a-b") == (5 * S + 7, 3, "a-b") and scalar.parse_component_id(scalar.SHUTDOWN_ID)[2] == "shutdown"
+    with pytest.raises(InvalidComponentId):
+        scalar.parse_component_id("5-7-x")
+
+
 def test_log_corruption(spark, tmp_path):
     good = encode_log_record("k1", 5 * S + 3, b"one")
     bad_sum = bytearray(encode_log_record("k2", 6, b"two"))

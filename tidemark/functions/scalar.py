@@ -48,12 +48,8 @@ def value_record_length(value: str | Column) -> Column:
 
 
 def shard(key: str | Column, n: int) -> Column:
-    """A shard number from 0 to n - 1; stable across runs and never negative."""
-    return F.pmod(F.xxhash64(_c(key)), F.lit(n)).cast("int")
-
-
-def fingerprint(key: str | Column) -> Column:
-    return F.xxhash64(_c(key))
+    """A shard number from 0 to n - 1, from the first 32 bits of the key's MD5: stable across runs and systems, and never negative."""
+    return (F.conv(F.substring(F.md5(_c(key).cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
 def now_ns() -> int:
@@ -64,6 +60,10 @@ def current_ns() -> Column:
     return F.unix_micros(F.current_timestamp()) * F.lit(1000)
 
 
+#: The component id that names no component: what a writer that stops leaves as its last.
+SHUTDOWN_ID = f"{0}-{0:010d}-0-shutdown"
+
+
 def random_guid(n: int = 16) -> str:
     return "".join(secrets.choice(string.ascii_letters + string.digits) for _ in range(n))
 
@@ -95,6 +95,5 @@ def parse_component_id_column(c: str | Column) -> Column:
 
 
 def lossy_text(value: str | Column) -> Column:
-    """UTF-8 text, or the value's hexadecimal digits after a mark where it is not UTF-8."""
-    v = _c(value).cast("binary")
-    return F.coalesce(F.try_validate_utf8(v.cast("string")), F.concat(F.lit("0x"), F.hex(v)))
+    """UTF-8 text, with U+FFFD for what is not UTF-8."""
+    return F.make_valid_utf8(_c(value).cast("binary").cast("string"))

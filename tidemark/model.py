@@ -41,6 +41,8 @@ MANIFEST = T.StructType(
 MAX_KEY_BYTES = 255
 MEMTABLE_BYTES = 8 * 1024 * 1024
 COMPACT_AT = 5
+#: Seconds without a write after which a tick flushes; seconds between ticks.
+IDLE_SECONDS, TICK_SECONDS = 120, 10
 
 
 class Missing(Enum):
@@ -117,4 +119,5 @@ def ts_ns(ts: str | Column) -> Column:
 
 
 def ts_display(col: str | Column = "ts_ns") -> Column:
-    return F.timestamp_micros((F.col(col) if isinstance(col, str) else col).cast("long") / 1000)
+    """For display only: what is below a microsecond is cut off."""
+    return F.timestamp_micros(F.floor((F.col(col) if isinstance(col, str) else col).cast("decimal(20)") / 1000).cast("long"))

@@ -64,7 +64,9 @@ def get_many(df: DataFrame, wanted: DataFrame, order: Sequence[str | Column] = (
 
 
 def not_found(wanted: DataFrame, df: DataFrame) -> DataFrame:
-    return wanted.join(df.select("key"), "key", "left_anti")
+    """Rows of wanted whose key df does not hold. df is cut down to the wanted keys first, so that its own keys are not sent around."""
+    held = df.select("key").join(wanted.select("key").distinct(), "key", "left_semi").distinct()
+    return wanted.join(held, "key", "left_anti")
 
 
 def merge(sources: Sequence[DataFrame], keys: Sequence[str] = ("key",), ts: str = "ts_ns", tie: Sequence[str] = ()) -> DataFrame:

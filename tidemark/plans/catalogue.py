@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.model import MAX_KEY_BYTES
+from tidemark.model import MAX_KEY_BYTES, Options, ts_display
 from tidemark.operators import merge as M
 from tidemark.operators import stats as A
 from tidemark.operators import upsert as U
-from tidemark.sources.discovery import list_tables
+from tidemark.plans.storage import fresh_path
+from tidemark.sources import formats as R
+from tidemark.sources.discovery import list_tables, located
+from tidemark.store import Store
 
 CUTOFF_US = 1706400000000000
 EPOCH_US, SLICE_US = 1704067200000000, 345600000000
@@ -66,6 +69,55 @@ def _prune_key(df: DataFrame) -> DataFrame:
     return A.key_ranges(df.withColumn("component", F.substring("key", 1, 1)), "component", "us", "us", keys=False).filter(A.covers_key("46/click")).select("component")
 
 
+def _parsed(df: DataFrame) -> DataFrame:
+    return _uuid(df).select("uuid", S.parse_component_id_column("uuid").alias("id")).select("uuid", "id.*")
+
+
+def _log_codec(df: DataFrame) -> DataFrame:
+    """Each row as a write log's record, decoded again."""
+    rows = df.select("seq", R.log_record(F.col("key"), F.col("us") * 1000, F.col("value")).alias("record"))
+    return R.decode_log_records(rows).select("seq", "status", "key", "ts_ns", F.col("value").cast("string").alias("value"), F.lower(F.hex("checksum")).alias("checksum"))
+
+
+def _index_codec(df: DataFrame) -> DataFrame:
+    """The index of a component of all winners, decoded again."""
+    rows = A.index_layout(_winners(df), ["us"])
+    return R.decode_index_records(rows.select(R.index_record(F.col("key"), F.col("us") * 1000, F.col("start_off"), F.col("len")).alias("record")))
+
+
+def _paths(df: DataFrame) -> DataFrame:
+    """Index files of a cluster in which each event type is a table."""
+    component = F.concat_ws("-", F.lit("1"), F.lit("0"), F.col("generation").cast("string"), F.col("component").cast("string"))
+    path = F.concat_ws("/", F.lit("file:/data"), F.concat(F.lit("node"), F.col("seq") % 5), F.concat(F.lit("shard_"), S.shard("key", 128)), F.lit("ns"), F.element_at(F.split("key", "/"), 2), component, F.lit("index"))
+    return located(df.select(path.alias("path"))).distinct()
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    """events in a table of the store: a component for each four days, the oldest last, so that most writes are late; full generations compacted."""
+    path = fresh_path(spark, "store")
+    store = Store(spark, path, Options(compact_at=3))
+    rows = kv(spark, sf_dir)
+    for c in range(8):
+        part = rows.filter(F.col("component") == F.lit(c * 3 % 8))
+        store.upsert(part.select("key", (F.col("us") * 1000).alias("ts_ns"), F.col("value").cast("binary").alias("value"), "seq"))
+    store.shutdown()
+    return Store.readonly(spark, path)
+
+
+def _store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).snapshot().select("key", "ts_ns", F.col("value").cast("string").alias("value"))
+
+
+def _store_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).stream_all(CUTOFF_US * 1000).select("key", "ts_ns", F.col("value").cast("string").alias("value"))
+
+
+def _store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says of the table: compaction has left no more rows than keys and components allow."""
+    m = _stored(spark, sf_dir).manifest()
+    return m.agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), F.max("max_ts_ns").alias("max_ts_ns"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lww_snapshot": _kv(_winners),
     "list_keys": _kv(lambda d: M.list_keys(d, ts="us")),
@@ -94,6 +146,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "uuid_fmt": _kv(_uuid),
     "key_limit": lambda s, d: table(s, d, "documents").select("doc_id", S.byte_length("text").alias("n")).filter(F.col("n") <= MAX_KEY_BYTES),
     "conv_latest": lambda s, d: M.lww(table(s, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], ["turn", "text"]),
+    "as_of": _kv(lambda d: M.as_of(d.select("key", "us", "seq", "value"), CUTOFF_US, "us", ORDER).select("key", "us", "value")),
+    "covers_timestamp": _kv(lambda d: A.key_ranges(d, "component", "us", "us", keys=False).filter(A.covers_timestamp(CUTOFF_US, "us")).select("component")),
+    "generation_roll_up": _kv(lambda d: A.roll_up(A.key_ranges(d.withColumn("us", F.col("us") * 1000), F.col("component"), "us", "ts_ns", keys=False).join(d.select("component", "generation").distinct(), "component"))),
+    "value_file_bytes": _kv(lambda d: A.value_file_bytes(_winners(d))),
+    "ts_display": _kv(lambda d: d.select("seq", F.unix_micros(ts_display(F.col("us") * 1000)).alias("shown_us"))),
+    "uuid_parse": _kv(_parsed),
+    "log_codec": _kv(_log_codec),
+    "index_codec": _kv(_index_codec),
+    "discovered": _kv(_paths),
+    "store_snapshot": _store_snapshot,
+    "store_stream_newer": _store_stream,
+    "store_bounds": _store_manifest,
     "shard": _kv(lambda d: d.select("key").distinct().select("key", S.shard("key", 128).alias("shard"))),
 }
 
@@ -136,5 +200,20 @@ SQL: dict[str, str] = {
     "list_tables": "select distinct event_type as table_name from events",
     "uuid_fmt": f"""select concat(cast(us // 1000000 as varchar), '-', lpad(cast(us % 1000000 * 1000 as varchar), 10, '0'), '-', cast(generation as varchar), '-', lpad(cast(seq as varchar), 16, '0')) as uuid from {_KV} kv""",
     "key_limit": "select doc_id, cast(strlen(text) as bigint) as n from documents where strlen(text) <= 255",
+    "shard": f"select key, cast(('0x' || substr(md5(key), 1, 8))::bigint % 128 as int) shard from (select distinct key from {_KV} kv) d",
+    "as_of": f"select key, us, value from (select *, row_number() over (partition by key order by us desc, seq desc) rn from {_KV} kv where us <= {CUTOFF_US}) t where rn = 1",
+    "covers_timestamp": f"select component from (select component, min(us) lo, max(us) hi from {_KV} kv group by component) t where {CUTOFF_US} between lo and hi",
+    "generation_roll_up": f"select generation, min(key) first_key, max(key) last_key, min(us) * 1000 min_ts_ns, max(us) * 1000 max_ts_ns from {_KV} kv group by generation",
+    "value_file_bytes": f"select cast(sum(16 + strlen(value)) as bigint) as bytes from {_LWW} w",
+    "ts_display": f"select seq, us as shown_us from {_KV} kv",
+    "uuid_parse": f"""select concat(cast(us // 1000000 as varchar), '-', lpad(cast(us % 1000000 * 1000 as varchar), 10, '0'), '-', cast(generation as varchar), '-', lpad(cast(seq as varchar), 16, '0')) as uuid,
+        us // 1000000 as seconds, us % 1000000 * 1000 as nanos, generation, lpad(cast(seq as varchar), 16, '0') as guid from {_KV} kv""",
+    "log_codec": f"select seq, 'ok' as status, key, us * 1000 as ts_ns, value, md5(value) as checksum from {_KV} kv",
+    "index_codec": f"select key, us * 1000 as ts_ns, cast(coalesce(sum(16 + strlen(value)) over (order by key {_BEFORE}), 0) as bigint) as start, cast(strlen(value) as bigint) as len from {_LWW} w",
+    "discovered": f"""select distinct concat('node', seq % 5) as node, concat('shard_', ('0x' || substr(md5(key), 1, 8))::bigint % 128) as shard, 'ns' as namespace, split_part(key, '/', 2) as "table",
+        concat('1-0-', generation, '-', component) as component, concat('file:/data/node', seq % 5, '/shard_', ('0x' || substr(md5(key), 1, 8))::bigint % 128, '/ns/', split_part(key, '/', 2), '/1-0-', generation, '-', component) as path from {_KV} kv""",
+    "store_snapshot": f"select key, us * 1000 as ts_ns, value from {_LWW} w",
+    "store_stream_newer": f"select key, us * 1000 as ts_ns, value from {_LWW} w where us > {CUTOFF_US}",
+    "store_bounds": f"select min(key) first_key, max(key) last_key, max(us) * 1000 as max_ts_ns from {_KV} kv",
     "conv_latest": "select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn desc, text desc) rn from conversations) t where rn = 1",
 }

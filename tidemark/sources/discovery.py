@@ -13,7 +13,11 @@ PARTS = ("node", "shard", "namespace", "table", "component")
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """One row for each component with an index file below root; only the listing is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "index").load(root).select("path")
+    return located(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "index").load(root).select("path"))
+
+
+def located(files: DataFrame) -> DataFrame:
+    """node, shard, namespace, table, component and folder of index files (path); folders still being written are left out."""
     parts = F.split("path", "/")
     cols = [F.element_at(parts, i - len(PARTS) - 1).alias(name) for i, name in enumerate(PARTS)]
     return files.select(*cols, F.regexp_replace("path", "/index$", "").alias("path")).filter(~F.col("component").endswith(".writing"))

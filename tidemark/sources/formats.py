@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.model import MAX_KEY_BYTES, InvalidKey
@@ -31,6 +31,49 @@ def encode_log_record(key: str, ts_ns: int, value: bytes) -> bytes:
     return bytes([len(k)]) + k + _AFTER_KEY.pack(ts_ns // _NS, ts_ns % _NS, len(value)) + value + hashlib.md5(value).digest() + b"\r\n"
 
 
+def _number(c: Column, size: int) -> Column:
+    """A number that is not negative, as bytes, most significant first."""
+    return F.unhex(F.lpad(F.hex(c), 2 * size, "0"))
+
+
+def log_record(key: Column, ts_ns: Column, value: Column) -> Column:
+    """A write log's record as a column, equal to encode_log_record()."""
+    body = value.cast("binary")
+    return F.concat(_number(F.octet_length(key), 1), key.cast("binary"), _number(_div(ts_ns), 8), _number(ts_ns % _NS, 4), _number(F.octet_length(body), 8), body, F.unhex(F.md5(body)), F.lit(b"\r\n"))
+
+
+def index_record(key: Column, ts_ns: Column, start: Column, length: Column) -> Column:
+    """An index file's record as a column."""
+    return F.concat(_number(F.octet_length(key), 1), key.cast("binary"), _number(_div(ts_ns), 8), _number(ts_ns % _NS, 4), _number(start, 8), _number(length, 8))
+
+
+def _div(ts_ns: Column) -> Column:
+    return F.call_function("div", ts_ns, F.lit(_NS))
+
+
+def decode_log_records(df: DataFrame, record: str = "record") -> DataFrame:
+    """status, key, ts_ns, value and checksum of the records in each value of a binary column, in place of it; other columns stay."""
+    rest = [c for c in df.columns if c != record]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(*r[1:], *x) for r in frame[[record, *rest]].itertuples(index=False, name=None) for x in decode_log(r[0])]
+            yield pd.DataFrame(rows, columns=[*rest, "status", "key", "ts_ns", "value", "checksum"])
+
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+    return df.select(record, *rest).mapInPandas(run, f"{kept + ', ' if kept else ''}status string, key string, ts_ns long, value binary, checksum binary")
+
+
+def decode_index_records(df: DataFrame, record: str = "record") -> DataFrame:
+    """key, ts_ns, start and len of the records in each value of a binary column."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([x for r in frame[record] for x in decode_index(r)], columns=["key", "ts_ns", "start", "len"])
+
+    return df.select(record).mapInPandas(run, "key string, ts_ns long, start long, len long")
+
+
 def decode_log(data: bytes) -> Iterator[tuple]:
     """(status, key, ts_ns, value, checksum) of each record: ok, bad_checksum or bad_key (skipped, reading goes on), or a last truncated or bad_trailer, where reading stops."""
     at, end = 0, len(data)

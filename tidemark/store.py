@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import component_id, md5sum, now_ns
-from tidemark.model import MANIFEST, MAX_KEY_BYTES, STORED, ComponentExists, Conflict, DataNotFound, InvalidChecksum, InvalidKey, Missing, NoData, Options, TableClosed, TableDoesNotExist, checked
+from tidemark.model import IDLE_SECONDS, MANIFEST, MAX_KEY_BYTES, STORED, ComponentExists, Conflict, DataNotFound, InvalidChecksum, InvalidKey, Missing, NoData, Options, TableClosed, TableDoesNotExist, checked
 from tidemark.operators import merge as M
 from tidemark.operators.upsert import effective
-from tidemark.sources.formats import encode_log_record, read_write_logs
+from tidemark.sources.formats import encode_log_record, log_report, read_write_logs
 
 #: Of equal timestamps the component published last wins.
 ORDER = ("ts_ns", "ordinal", "seq")
@@ -71,6 +71,7 @@ class _Pending:
     bytes: int = 0
     log: str | None = None
     stream: object = None
+    last_ns: int = 0
 
 
 class Store:
@@ -84,6 +85,8 @@ class Store:
                 raise TableDoesNotExist(path)
             self.files.fs.mkdirs(self.files.path(""))
         self.pending = _Pending()
+        #: (log, status, number) of the records that recovery found when the table was opened.
+        self.recovered: list[tuple[str, str, int]] = []
         if options.writable:
             self._recover()
 
@@ -138,8 +141,8 @@ class Store:
         if not components:
             return self.spark.createDataFrame([], STORED)
         rows = self.spark.read.schema(STORED).parquet(*(f"{self.files.root}/{c['path']}" for c in components))
-        ordinals = F.create_map(*(x for c in components for x in (F.lit(c["component"]), F.lit(c["ordinal"]).cast("long"))))
-        return rows.withColumn("ordinal", ordinals[F.col("component")])
+        ordinals = self.spark.createDataFrame([(c["component"], c["ordinal"]) for c in components], "component string, ordinal long")
+        return rows.drop("ordinal").join(F.broadcast(ordinals), "component").select(*rows.columns)
 
     def versions(self, newer_than: int | None = None, key: str | None = None, at: int | None = None) -> DataFrame:
         """All stored versions, without components whose bounds rule them out."""
@@ -203,10 +206,26 @@ class Store:
             self.pending.bytes -= len(self.pending.rows[key][1])
         self.pending.rows[key] = (ts_ns, value, len(self.pending.rows))
         self.pending.bytes += len(value)
+        self.pending.last_ns = now_ns()
         if self.pending.bytes >= self.options.memtable_bytes:
             self.flush()
         return True
 
+    def sync(self) -> None:
+        """Puts what was logged so far on the disks themselves, where the file system can."""
+        if self.pending.stream is not None:
+            self.pending.stream.hsync()
+
+    def tick(self, at_ns: int | None = None) -> str | None:
+        """What is due from time to time, every TICK_SECONDS say: the log is synced; rows held for IDLE_SECONDS without another put
+        are flushed; generations that are full are compacted. The id of a component that a flush made."""
+        self._check_writable()
+        self.sync()
+        if self.pending.rows and (at_ns or now_ns()) - self.pending.last_ns >= IDLE_SECONDS * 10**9:
+            return self.flush()
+        self._autocompact()
+        return None
+
     def flush(self) -> str | None:
         """Publishes the held rows as a component of generation 0."""
         if not self.pending.rows:
@@ -230,8 +249,11 @@ class Store:
         self._check_writable()
         self.flush()
         rows = M.lww_first(checked(batch.select("key", "ts_ns", "value", "seq")))
-        if filter_late and self.components():
-            rows = effective(rows, self.versions().select("key", "ts_ns"))
+        if filter_late and (now := self.components()):
+            # a component that ends before the batch begins, in time or in keys, makes no row late
+            lo, hi, oldest = batch.agg(F.min("key"), F.max("key"), F.min("ts_ns")).head()
+            may = [c for c in now if oldest is not None and c["max_ts_ns"] >= oldest and c["first_key"] <= hi and c["last_key"] >= lo]
+            rows = effective(rows, self._read(may).select("key", "ts_ns")) if may else rows
         try:
             new = self._write(rows, 0)
         except NoData:
@@ -279,10 +301,21 @@ class Store:
         while self.options.autocompact and (g := self.compact_candidate()) is not None:
             self.compact(g)
 
-    def vacuum(self) -> list[str]:
-        """Deletes components that the newest version does not name; run it when no reader of older versions is left."""
-        live = {c["component"] for c in self.components()}
-        gone = [n for n in self.files.names("components") if n not in live]
+    def vacuum(self, grace_seconds: float = 600) -> list[str]:
+        """Deletes components that were retired more than grace_seconds ago; readers of older versions must be done by then.
+
+        Only what some version named and the newest does not is retired: a folder that no version has named yet belongs to a
+        writer that is about to publish it, and stays.
+        """
+        versions = {v: {c["component"] for c in self.components(v)} for v in range(1, self.version + 1)}
+        live = versions.get(self.version, set())
+        retired: dict[str, int] = {}
+        for v, names in versions.items():
+            for n in versions.get(v - 1, set()) - names:
+                retired[n] = v
+        modified = lambda v: self.files.fs.getFileStatus(self.files.path(f"_manifest/v{v:012d}.json")).getModificationTime()
+        due = now_ns() / 1e6 - 1000 * grace_seconds
+        gone = [n for n in self.files.names("components") if n in retired and n not in live and modified(retired[n]) <= due]
         for n in gone:
             self.files.delete(f"components/{n}")
         return gone
@@ -290,20 +323,30 @@ class Store:
     # lifecycle
 
     def _recover(self) -> None:
-        """Merges write logs left behind into a component; records that cannot be read are skipped, as log_report() counts."""
+        """Merges write logs left behind into a component, in the order of their names: of equal timestamps the first record stays.
+
+        Numbers of records of each status are kept in self.recovered. A log whose last record is cut off, as by a crash, is
+        deleted like a whole one; one with damaged records is set aside as *.damaged.
+        """
         logs = [n for n in self.files.names() if n.endswith(".write_log")]
         if not logs:
             return
         paths = [f"{self.files.root}/{n}" for n in logs]
-        rows = read_write_logs(self.spark, paths).select("key", "ts_ns", "value", "seq")
-        rows = M.lww_first(rows)
+        records = read_write_logs(self.spark, paths, valid=False).withColumn("log", F.regexp_extract("log", "([^/]+)$", 1))
+        self.recovered = sorted(tuple(r) for r in log_report(records).collect())
+        order = self.spark.createDataFrame([(n, i << 40) for i, n in enumerate(logs)], "log string, base long")
+        rows = records.filter("status = 'ok'").join(F.broadcast(order), "log").select("key", "ts_ns", "value", (F.col("base") + F.col("seq")).alias("seq"))
         try:
-            new = self._write(effective(rows, self.versions().select("key", "ts_ns")), 0)
+            new = self._write(effective(M.lww_first(rows), self.versions().select("key", "ts_ns")), 0)
             self._change(new)
         except NoData:
             pass
+        damaged = {n for n, status, _ in self.recovered if status not in ("ok", "truncated")}
         for n in logs:
-            self.files.delete(n)
+            if n in damaged:
+                self.files.fs.rename(self.files.path(n), self.files.path(f"{n}.damaged"))
+            else:
+                self.files.delete(n)
 
     def shutdown(self) -> None:
         if not self.closed and self.options.writable:
