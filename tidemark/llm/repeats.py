@@ -16,7 +16,8 @@ costs time only; those of step 2 are hashes of about 62 bits. A text that occurs
 first document; the other copies are repeats from end to end.
 
 Documents are ordered by doc_id, nulls last, and then by their text's digest. Null texts are empty. A repeat inside one
-document counts, overlapping or not. Of rows that are equal in doc_id and text one is first. Extra columns don't matter.
+document counts, overlapping or not. Of rows that are equal in doc_id and text one is first. An empty table gives an empty one.
+Other columns are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import spark_parts
 from tidemark.llm.shingles import U, mix, prefix_hashes
 from tidemark.plans.ordered import with_running
-from tidemark.plans.storage import remove, written
+from tidemark.plans.storage import remove, scoped, written
 
 #: A perfect difference set modulo 57.
 PERIOD, COVER = 57, np.array([0, 1, 3, 13, 32, 36, 43, 52])
 #: Bytes of text of a chunk, and rows of a table of keys that is broadcast at most.
 CHUNK, BROADCAST_ROWS = 1 << 19, 500_000
+#: Bytes of text whose names meet in one part, about; names are about as long as the text, or shorter.
+PART_BYTES = 1 << 26
 
 
 def _pack(ascending: np.ndarray) -> bytes:
@@ -262,16 +265,21 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@scoped
 def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs. length must be at least PERIOD + 8."""
     if length < PERIOD + 8:
         raise ValueError(f"length must be at least {PERIOD + 8}")
-    spark, prefix, parts = docs.sparkSession, length - PERIOD + 1, max(8, spark_parts(docs))
+    spark, prefix = docs.sparkSession, length - PERIOD + 1
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     source = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("sha"))
     rows = written(source.select("doc_id", "sha", F.octet_length("body").cast("long").alias("n_bytes")).groupBy("sha", "doc_id").agg(F.max("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n")), "rows")
     firsts = written(rows.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("size")), "firsts")
 
+    # parts follow the bytes, so that what one task holds does not grow with the input
+    total = firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+    parts = max(8, spark_parts(docs), -(-total // PART_BYTES))
+
     # texts that take part: the first of each, if long enough
     copies = rows.join(firsts.select("sha", "first"), "sha").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("sha", F.col("doc_id").alias("copy"))
     copies = written(copies, "copies")
