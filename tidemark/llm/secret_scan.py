@@ -4,7 +4,8 @@ A candidate is a run of at least SHORTEST characters of the key alphabet with a
 or what is assigned with = or : to a word that ends in a secret word: a quoted string without spaces, or any other run, of
 ASSIGNED characters or more. A run that the forest turns down is looked at once more by the parts that are candidates themselves.
 The forest looks at its length, its character transitions, how much of it a dictionary covers, whether it is part of a
-path, and the words before it. It is trained on the driver from a bounded number of labelled findings, by default made by
+path, and the words before it. Dictionary and transitions are learned from the corpus: the words that stand in most of its
+texts, and the pairs of letters that make up half of those words; words of identifiers and placeholders are added. It is trained on the driver from a bounded number of labelled findings, by default made by
 rule; features of findings and of candidates come from the same expressions. Its trees become CASE expressions, so texts are
 scanned and judged by built-in functions alone, in place.
 
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import random
 import string
+from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +35,8 @@ KEY_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z]{16})[A-Za-z0-9+/_-]
 #: Characters before and after a candidate that are looked at; findings that the forest learns from, at most.
 CONTEXT, FINDINGS = 40, 4000
 TREES, DEPTH, LEAF, KEEP = 15, 6, 5, 0.5
+#: Words that are learned, by the number of texts that hold them; letters of a word; share of the pairs of letters in them that count as natural.
+WORDS, LETTERS, NATURAL = 400, (4, 12), 0.5
 #: Words that names, identifiers and placeholders are made of; words that stand before secrets, and before other keys.
 DICTIONARY = "account admin alpha backup beta build chapter client cloud config count data date default demo dev document dummy east example file final form group house image index invoice item local main model name north number order page part paper photo place prod project record release report sample section server south staging summary table team test text title update user value version week west word year".split()
 SECRET_WORDS = "apikey api_key auth authorization bearer credential key passwd password pwd secret token".split()
@@ -46,17 +51,52 @@ CANDIDATE = rf"{KEY_RUN}|(?=[\"'\]\x20\t=:]){_NAMED}{_SIGN}{_VALUE}"
 _LEAD = rf"^{_SIGN}[\"']?"
 
 
-def features(before: Column, cand: Column, after: Column) -> dict[str, Column]:
+@dataclass(frozen=True)
+class Vocabulary:
+    """What candidates are held against: words, and pairs of letters that words are full of."""
+
+    words: tuple[str, ...]
+    pairs: tuple[str, ...]
+
+
+def vocabulary(counts: Sequence[tuple[str, int]]) -> Vocabulary:
+    """From words and how often they count; the fixed words are added."""
+    weight: Counter[str] = Counter()
+    for w, n in [*counts, *((w, 1) for w in DICTIONARY)]:
+        for i in range(len(w) - 1):
+            weight[w[i : i + 2]] += n
+    pairs: list[str] = []
+    left = NATURAL * sum(weight.values())
+    for p, n in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
+        if left <= 0:
+            break
+        pairs.append(p)
+        left -= n
+    return Vocabulary(tuple(sorted({w for w, _ in counts} | set(DICTIONARY), key=lambda w: (-len(w), w))), tuple(pairs))
+
+
+def learn(docs: DataFrame, text: str = "text") -> Vocabulary:
+    """The vocabulary of a corpus: texts are counted for each word where they lie, and WORDS words come to the driver."""
+    low, high = LETTERS
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"(?<![\p{{L}}\p{{N}}_])[a-z]{{{low},{high}}}+(?![\p{{L}}\p{{N}}_])"), F.lit(0))
+    n = docs.select(F.explode(F.array_distinct(found)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return vocabulary([tuple(r) for r in n.orderBy(F.desc("n"), "word").limit(WORDS).collect()])
+
+
+#: The vocabulary where there is no corpus.
+FIXED = vocabulary([])
+
+
+def features(before: Column, cand: Column, after: Column, vocab: Vocabulary = FIXED) -> dict[str, Column]:
     n = F.length(cand).cast("double")
     share = lambda p: F.regexp_count(cand, F.lit(p)) / n
     low = F.lower(cand)
     classes = F.translate(cand, string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
-    pairs = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|nt|ch|ei|ie|de|le|la|un|ge|se|ra|as|os"
     word = F.regexp_extract(F.lower(before), r"([a-z0-9_]+)[^a-z0-9_]{0,4}$", 1)
     return {
         "length": n,
         "changes": (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / n,
-        "natural_pairs": F.regexp_count(low, F.lit(f"(?=(?:{pairs}))")) / n,
+        "natural_pairs": F.regexp_count(low, F.lit(f"(?=(?:{'|'.join(vocab.pairs)}))")) / n,
         "distinct": F.size(F.array_distinct(F.split(cand, ""))) / n,
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
@@ -64,7 +104,7 @@ def features(before: Column, cand: Column, after: Column) -> dict[str, Column]:
         "punctuation": share("[^A-Za-z0-9+/_-]"),
         "placeholder": cand.rlike(r"^[<$%{*]|\(|^(.)\1+$").cast("double"),
         "hex": cand.rlike("^[0-9a-f]+$").cast("double"),
-        "dictionary": 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / n,
+        "dictionary": 1 - F.length(F.regexp_replace(low, "|".join(vocab.words), "")) / n,
         "known_form": cand.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abp]-|^sk-[A-Za-z0-9]{20}").cast("double"),
         "grouped": cand.rlike("^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$").cast("double"),
         "path": (before.rlike(r"[/\\.]$") | cand.rlike("/.*/") | after.rlike(r"^\.[a-z]{2,4}\b")).cast("double"),
@@ -131,8 +171,8 @@ def labelled_findings(n: int = 3000, seed: int = 13) -> list[tuple[str, str, str
 class Forest:
     """Trees of yes/no questions on features, each grown on a resample with a random choice of features at each node."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, seed: int = 17):
-        self.rng = np.random.default_rng(seed)
+    def __init__(self, x: np.ndarray, y: np.ndarray, vocab: Vocabulary = FIXED, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, seed: int = 17):
+        self.rng, self.vocab = np.random.default_rng(seed), vocab
         self.trees = [self._grow(x[r], y[r], depth, leaf) for r in (self.rng.integers(0, len(x), len(x)) for _ in range(trees))]
 
     def _grow(self, x, y, depth, leaf):
@@ -175,14 +215,14 @@ class Forest:
         return np.array([sum(one(t, r) for t in self.trees) / len(self.trees) for r in x])
 
 
-def train(spark: SparkSession, findings: Sequence[tuple[str, str, str, int]] | None = None) -> Forest:
+def train(spark: SparkSession, findings: Sequence[tuple[str, str, str, int]] | None = None, vocab: Vocabulary = FIXED) -> Forest:
     """A forest from (before, candidate, after, label); of more than FINDINGS of them, as many are drawn by a fixed seed."""
     findings = labelled_findings() if findings is None else list(findings)
     if len(findings) > FINDINGS:
         findings = random.Random(FINDINGS).sample(findings, FINDINGS)
     table = spark.createDataFrame([tuple(f) for f in findings], "before string, cand string, after string, label int")
-    got = table.select("label", *(c.alias(k) for k, c in features(F.col("before"), F.col("cand"), F.col("after")).items())).collect()
-    return Forest(np.array([r[1:] for r in got], float), np.array([r[0] for r in got], float))
+    got = table.select("label", *(c.alias(k) for k, c in features(F.col("before"), F.col("cand"), F.col("after"), vocab).items())).collect()
+    return Forest(np.array([r[1:] for r in got], float), np.array([r[0] for r in got], float), vocab)
 
 
 def candidates(docs: DataFrame, text: str = "text", out: str = "_cands") -> DataFrame:
@@ -206,10 +246,10 @@ def candidates(docs: DataFrame, text: str = "text", out: str = "_cands") -> Data
 
 def scan(docs: DataFrame, forest: Forest | None = None, keep: float = KEEP, text: str = "text", cands: str = "_cands", out: str = "_secrets") -> DataFrame:
     """Adds cands, and out, the candidates whose score is at least keep, or else those of their parts."""
-    forest = forest or train(docs.sparkSession)
+    forest = forest or train(docs.sparkSession, vocab=learn(docs, text))
 
     def judge(s: Column) -> Column:
-        named = F.struct(*(c.cast("double").alias(k) for k, c in features(s["before"], s["match"], s["after"]).items()))
+        named = F.struct(*(c.cast("double").alias(k) for k, c in features(s["before"], s["match"], s["after"], forest.vocab).items()))
         # features once, then the trees on their values
         return F.element_at(F.transform(F.array(named), lambda v: forest.score([v[k] for k in features(F.lit(""), F.lit(""), F.lit(""))])), 1) >= keep
 
