@@ -22,6 +22,8 @@ from tidemark.plans.storage import written
 
 #: The greatest chance of missing a link that trees may leave; values of a bucket, buckets of a text, texts of a part.
 MISS, DEPTH, BANDS, PART = 5e-6, 4, 24, 2048
+#: Rows of a table of regions that is broadcast, at most.
+BROADCAST_ROWS = 500_000
 
 
 def open_texts(deep: DataFrame, labels: DataFrame, percent: int, trees: int, depth: int) -> DataFrame:
@@ -33,9 +35,11 @@ def open_texts(deep: DataFrame, labels: DataFrame, percent: int, trees: int, dep
     left = lambda df: df.groupBy("key").agg((F.sum(chance(F.col("d"))) + rest).alias("miss")).filter(F.col("miss") > float(np.log(MISS)))
     deep = written(deep.groupBy("key", "region").agg(F.max("depth").alias("d")), "deep")
     unsure = left(deep).select("key")
-    asked = written(deep.filter("d > 2").join(unsure, "key", "left_semi").select("region").distinct(), "asked")
-    there = deep.filter("d > 2").join(asked, "region", "left_semi").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    # a region of any size is summed up where its rows are; its rows are not brought together
+    there = deep.filter("d > 2").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     closed = there.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo = hi").select("region", F.lit(2).alias("two"))
+    closed = written(closed, "closed")
+    closed = F.broadcast(closed) if closed.count() <= BROADCAST_ROWS else closed
     mine = deep.join(unsure, "key", "left_semi").join(closed, "region", "left").select("key", F.least("d", F.coalesce("two", "d")).alias("d"))
     return written(left(mine).select("key"), "open")
 
