@@ -100,6 +100,17 @@ SQL: dict[str, str] = {
         l as (select distinct {_CANONICAL} u from p where regexp_matches(host, '{_LISTED}'))
         select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
         when host <> '' and {_CANONICAL} in (select u from l) then 'block' else 'allow' end verdict from r""",
+    "op4_minhash_dedup": f"""with recursive d as (select doc_id, regexp_extract_all(translate(text, {_AZ}), '[^\\x20\\x09-\\x0D]+') words from documents),
+        w as (select doc_id, unnest(words) a, generate_subscripts(words, 1) i from d where len(words) >= 4),
+        g as (select distinct doc_id, a || ' ' || lead(a, 1) over o || ' ' || lead(a, 2) over o || ' ' || lead(a, 3) over o as shingle from w window o as (partition by doc_id order by i)),
+        s as (select doc_id, shingle from g where shingle is not null union all select doc_id, array_to_string(words, ' ') from d where len(words) between 1 and 3),
+        n as (select doc_id, count(*) size from s group by doc_id),
+        t as (select s.doc_id, shingle, size from s join n using (doc_id)),
+        l as (select x.doc_id a, y.doc_id b from t x join t y on x.shingle = y.shingle and x.doc_id <> y.doc_id and 100 * x.size >= 80 * y.size and 100 * y.size >= 80 * x.size
+            group by x.doc_id, y.doc_id, x.size, y.size having 100 * count(*) >= 80 * (x.size + y.size - count(*))),
+        r as (select doc_id a, doc_id b from documents union select r.a, l.b from r join l on r.b = l.a),
+        c as (select a doc_id, min(b) component_id from r group by a)
+        select doc_id, coalesce(size, 0) n_shingles, component_id, component_id = doc_id as kept from c left join n using (doc_id)""",
     "op6_mixing": """with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
         s as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 k from d group by source),
         w as (select *, (case k % 3 when 0 then 3 when 1 then 1 else 2 end)::double weight, 2.0::double * source_size as cap, (sum(source_size) over ())::bigint total from s),
@@ -110,4 +121,21 @@ SQL: dict[str, str] = {
             from d join t on d.source is not distinct from t.source)
         select doc_id, size, source_size, target, (size * (floor(rate) + case when ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double
             < rate - floor(rate) then 1 else 0 end))::bigint taken from m""",
+    "op8_embedding_dedup": """with recursive v as (select vec_id, embedding::double[] e from embeddings
+            where len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+        l as (select x.vec_id a, y.vec_id b from v x join v y on len(x.e) = len(y.e) and x.vec_id <> y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.9),
+        r as (select vec_id a, vec_id b from embeddings union select r.a, l.b from r join l on r.b = l.a),
+        c as (select a vec_id, min(b) component_id from r group by a), k as (select a vec_id, count(*) n from l group by a)
+        select vec_id, coalesce(n, 0) n_links, component_id, component_id = vec_id as kept from c left join k using (vec_id)""",
+    "op9_repeats": """with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+        b as (select doc_id, k * 1000 as base, substr(h, (2000 * k + 1)::bigint, 2198) h from (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0), 1000)) // 1000 k from d) x),
+        w as (select doc_id, base + i as pos, md5(substr(h, (2 * i + 1)::bigint, 200)) name from (select doc_id, base, h, unnest(range(0, least(1000, len(h) // 2 - 99))) i from b) x),
+        p as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by name order by doc_id, pos) n from w) x where n > 1),
+        q as (select doc_id, pos, case when pos <= lag(pos) over o + 100 then 0 else 1 end fresh from p window o as (partition by doc_id order by pos)),
+        m as (select doc_id, pos, sum(fresh) over (partition by doc_id order by pos) run from q),
+        s as (select doc_id, min(pos) lo, max(pos) + 100 hi from m group by doc_id, run),
+        g as (select s.*, coalesce(lag(hi) over (partition by doc_id order by lo), 0) upto from s),
+        k as (select g.doc_id, sum(hi - lo) removed, count(*) spans, string_agg(substr(h, (2 * upto + 1)::bigint, (2 * (lo - upto))::bigint), '' order by lo) || substr(any_value(h), (2 * max(hi) + 1)::bigint) left_over
+            from g join d using (doc_id) group by g.doc_id)
+        select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(spans, 0) n_spans, sha256(unhex(coalesce(left_over, h))) kept_sha256 from d left join k using (doc_id)""",
 }
