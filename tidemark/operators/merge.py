@@ -60,12 +60,12 @@ def get(df: DataFrame, *keys: str, order: Sequence[str | Column] = ("ts_ns", "se
 
 def get_many(df: DataFrame, wanted: DataFrame, order: Sequence[str | Column] = ("ts_ns", "seq")) -> DataFrame:
     """As get(), for a table of keys of any size."""
-    return lww(df.join(wanted.select("key").distinct(), "key", "left_semi"), order=order)
+    return lww(df.join(wanted.select("key"), "key", "left_semi"), order=order)
 
 
 def not_found(wanted: DataFrame, df: DataFrame) -> DataFrame:
     """Rows of wanted whose key df does not hold. df is cut down to the wanted keys first, so that its own keys are not sent around."""
-    held = df.select("key").join(wanted.select("key").distinct(), "key", "left_semi").distinct()
+    held = df.select("key").join(wanted.select("key"), "key", "left_semi").distinct()
     return wanted.join(held, "key", "left_anti")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ def okv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keys_frame(spark: SparkSession, *keys: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in keys], "key string")
+    """A local relation, whose size Spark knows: semi-joins with it are broadcast from the start."""
+    return spark.createDataFrame(pa.table({"key": pa.array(keys, pa.string())}))
 
 
 def _kv(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
